@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .common import documents
 from .exact_dedup import exact_groups
+from .language_id import languages
+from .near_dedup import near_components
 from .quality_rules import quality_rules
 from .rule_ensemble import quality_scores
+from .toxicity import toxicity
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +25,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -28,6 +41,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 SQL_OP7 = r"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -39,8 +60,12 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_byte_bpe": op2_byte_bpe,
+        "op5_language_id": op5_language_id,
         "op6_quality_rules": op6_quality_rules,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_near_dedup": op9_near_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
