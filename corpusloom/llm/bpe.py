@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import python_ready
 
 #: White space as the vocabulary's pattern has it (Unicode's White_Space).
 _GAP = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -213,7 +213,7 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str, chars: int = GROUP_C
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and, for its text (null: empty), ids (array of int), n_tokens. A row for each row; other columns are ignored."""
-    arrow_rows(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
@@ -229,7 +229,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the bytes of its ids (array of int; null: empty). Bytes of cut texts needn't be valid UTF-8."""
-    arrow_rows(tokens.sparkSession)
+    python_ready(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
@@ -246,7 +246,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Null and empty texts have no tokens; repeated rows come out alike; words of any length are contracted whole. Other columns are
     ignored. Encoding and decoding share a worker, so ids don't cross between processes.
     """
-    arrow_rows(docs.sparkSession)
+    python_ready(docs.sparkSession)
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

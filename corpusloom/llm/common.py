@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Rows in an Arrow batch sent to Python; texts can be long.
 ARROW_ROWS = 512
+#: Applications whose executors have this package.
+_SHIPPED: set[str] = set()
 #: ASCII white space, as words `[^\x20\x09-\x0D]+` leave it out. bytes.split() without arguments splits at the same six bytes.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -39,8 +44,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the session's Arrow batch size to `rows`, so that a batch of long texts fits in a Python worker."""
+def python_ready(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Lower the session's Arrow batch size to `rows`, so that a batch of long texts fits in a Python worker; and
+    hand this package to the executors, once for each application, as a zip file."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="corpusloom-")  # the driver serves the file from here as long as it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(os.path.realpath(folder), "corpusloom-package.zip")
+        root = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent).as_posix())
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(app)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))

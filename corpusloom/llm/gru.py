@@ -11,6 +11,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return F4(0.5) * (np.tanh(F4(0.5) * x) + F4(1))
 
 
+def scattered(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of values added up by their place."""
+    flat = values.reshape(-1, values.shape[-1])
+    return np.stack([np.bincount(at.ravel(), flat[:, k], rows) for k in range(flat.shape[1])], 1).astype(F4)
+
+
 def padded(lengths: np.ndarray, width: int) -> np.ndarray:
     """The mask (time, sequence) of sequences of these lengths."""
     return np.arange(width)[:, None] < lengths[None, :]

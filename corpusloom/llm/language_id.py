@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import arrow_rows, crc_mod
+from .common import python_ready, crc_mod
 
 #: Labelled documents to learn from, at most: those with the smallest xxhash64(doc_id) among those of at most FIT_BYTES bytes.
 FIT_ROWS, FIT_BYTES = 1500, 20_000
@@ -56,7 +56,7 @@ class Net:
         y -= y.max(2, keepdims=True)
         return y - np.log(np.exp(y).sum(2, keepdims=True)), h
 
-    def train(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = 900, batch: int = 256, seed: int = 5) -> None:
+    def train(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = 600, batch: int = 256, seed: int = 5) -> None:
         """Backpropagation through time on words drawn by weight; every position is told its word's language."""
         rng, adam, p = np.random.default_rng(seed), gru.Adam(self.w, 0.01), weights / weights.sum()
         order = rng.choice(len(words), (steps, batch), p=p)
@@ -68,9 +68,7 @@ class Net:
             g[:, np.arange(batch), labels[picked]] -= 1
             g *= (gru.padded(lengths, len(data)) / np.float32(lengths.sum()))[:, :, None].astype(np.float32)
             dx, dy, duf, dub = gru.both_ways_back(g @ self.w["o"].T, lengths, self.w["uf"], self.w["ub"], tapes)
-            grads = {"uf": duf, "ub": dub, "o": np.tensordot(h, g, ((0, 1), (0, 1))), "b": g.sum((0, 1)), "xf": np.zeros_like(self.w["xf"]), "xb": np.zeros_like(self.w["xb"])}
-            np.add.at(grads["xf"], data, dx)
-            np.add.at(grads["xb"], data, dy)
+            grads = {"uf": duf, "ub": dub, "o": np.tensordot(h, g, ((0, 1), (0, 1))), "b": g.sum((0, 1)), "xf": gru.scattered(data, dx, 256), "xb": gru.scattered(data, dy, 256)}
             adam.step(grads, 1.0 if s < steps * 0.6 else 0.3)
 
     def sums(self, words: list[bytes]) -> np.ndarray:
@@ -162,7 +160,7 @@ def languages(docs: DataFrame) -> DataFrame:
     Without any labelled text to learn from, every text is `und`. With one language, all letters are that one. Other columns are ignored.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    python_ready(spark)
     net = fit(docs)
     shared = spark.sparkContext.broadcast(net)  # some 30 kB, whatever the corpus
     key = int(np.frombuffer(np.random.default_rng().bytes(8), np.int64)[0])
