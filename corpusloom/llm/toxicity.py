@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as the embedding of its hash (without marks at its ends) next to the mean embedding of its character trigrams. The
-network reads windows of 32 words, one every 16, so that each word has context on both sides in one of
+A word enters as the embedding of its hash (without marks at its ends), the mean embedding of its character trigrams, and that of
+its beginnings of three to eight bytes. Words, trigrams and beginnings that few of the training documents have
+stay zero, so that no document is learned by heart. The network reads windows of 32 words, one every 16, so that each word has context on both sides in one of
 them; attention pools a window's states into one probability. A text's score is its largest window's. A
 document's label says only that some window is toxic, so training descends on each document's highest windows.
 """
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import arrow_rows, crc_mod
+from .common import python_ready, crc_mod
 
 #: Labelled documents to learn from, at most, half of them toxic if there are as many: those with the smallest xxhash64(doc_id) among
 #: those of at most FIT_BYTES bytes.
 FIT_ROWS, FIT_BYTES = 3000, 8_000
 WINDOW, STRIDE, HIDDEN, DIM, ATT = 32, 16, 8, 8, 8
-WORD_SLOTS, CHAR_SLOTS, KEPT = 1 << 14, 1 << 12, 150_000
+WORD_SLOTS, CHAR_SLOTS, KEPT = 1 << 15, 1 << 15, 150_000
+#: Beginnings of words, in bytes. Least documents that must have a feature: this many, and this share of the training documents.
+STEMS, LEAST, LEAST_SHARE = range(3, 9), 3, 0.003
 THRESHOLD = 0.3
 MARKS = b".,;:!?\"'()[]*#$%&|<>-"
 
@@ -32,18 +35,28 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its slot; and the slots of all character trigrams, with where each word's begin."""
-    slots = np.array([xxhash.xxh32_intdigest(w.strip(MARKS) or w) % WORD_SLOTS for w in words], np.int64)
+def inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its slot; the slots of all character trigrams, with where each word's begin; the slots of its beginnings
+    (word, length), CHAR_SLOTS for those longer than the word."""
+    bare = [w.strip(MARKS) or w for w in words]
+    slots = np.array([xxhash.xxh32_intdigest(w) % WORD_SLOTS for w in bare], np.int64)
     framed = [b"^" + w[:64] + b"$" for w in words]
     data = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint32)
     n = np.array([len(f) for f in framed])
     ends = np.cumsum(n)
-    tri = ((data[:-2] | data[1:-1] << 8 | data[2:] << 16) * np.uint32(2654435761)) >> np.uint32(20)
+    tri = ((data[:-2] | data[1:-1] << 8 | data[2:] << 16) * np.uint32(2654435761)) >> np.uint32(17)
     inside = np.ones(len(tri), bool)
     for e in (ends[:-1] - 1, ends[:-1] - 2):
         inside[e[e < len(tri)]] = False
-    return slots, tri[inside].astype(np.int64), np.concatenate([[0], np.cumsum(n - 2)])
+    last = STEMS[-1]
+    first = np.frombuffer(b"".join([w[:last].ljust(last, b"\0") for w in bare]), np.uint8).reshape(len(words), last).astype(np.uint32)
+    size, h, stems = np.array([len(w) for w in bare]), np.zeros(len(words), np.uint32), []
+    for k in range(last):
+        h = (h + first[:, k] + np.uint32(k + 1)) * np.uint32(2654435761)
+        h ^= h >> np.uint32(15)
+        if k + 1 in STEMS:
+            stems.append(np.where(size > k, ((h * np.uint32(2246822519)) >> np.uint32(17)).astype(np.int64), CHAR_SLOTS))
+    return slots, tri[inside].astype(np.int64), np.concatenate([[0], np.cumsum(n - 2)]), np.stack(stems, 1)
 
 
 def windows(n: int) -> list[int]:
@@ -56,13 +69,14 @@ class Net:
         rng = np.random.default_rng(seed)
         r = lambda *s: (rng.normal(size=s) * 0.3).astype(np.float32)
         h3 = 3 * HIDDEN
-        self.w = {"ew": r(WORD_SLOTS, DIM), "ec": r(CHAR_SLOTS, DIM), "xf": r(2 * DIM, h3), "xb": r(2 * DIM, h3), "uf": r(HIDDEN, h3), "ub": r(HIDDEN, h3), "wa": r(2 * HIDDEN, ATT), "va": r(ATT), "wo": r(2 * HIDDEN), "bo": np.full(1, -1, np.float32)}
+        self.rng = rng
+        self.w = {"xf": r(3 * DIM, h3), "xb": r(3 * DIM, h3), "uf": r(HIDDEN, h3), "ub": r(HIDDEN, h3), "wa": r(2 * HIDDEN, ATT), "va": r(ATT), "wo": r(2 * HIDDEN), "bo": np.full(1, -1, np.float32)}
 
-    def vectors(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-        """Each word's input vector, and what made it."""
-        slots, tri, at = inputs(words)
+    def vectors(self, words: list[bytes]) -> np.ndarray:
+        """Each word's input vector."""
+        slots, tri, at, stems = self.known(*inputs(words))
         chars = np.add.reduceat(self.w["ec"][tri], at[:-1]) / np.diff(at)[:, None].astype(np.float32)
-        return np.concatenate([self.w["ew"][slots], chars.astype(np.float32)], 1), (slots, tri, at)
+        return np.concatenate([self.w["ew"][slots], chars.astype(np.float32), self.w["es"][stems].mean(1)], 1)
 
     def logits(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, tapes: tuple[list, list] | None = None) -> tuple[np.ndarray, tuple]:
         """A logit for each window from both directions' inputs (time, window, 3H)."""
@@ -95,12 +109,14 @@ class Net:
             out[part] = self.logits(gates[0][idx], gates[1][idx], lengths[part])[0]
         return out, flat, np.stack([first, lengths]), owner
 
-    def train(self, docs: list[list[bytes]], labels: np.ndarray, steps: int = 500, half: int = 24, seed: int = 13) -> None:
+    def train(self, docs: list[list[bytes]], labels: np.ndarray, steps: int = 700, half: int = 24, seed: int = 13) -> None:
         """Each step draws as many toxic documents as others, and descends on the highest window of each and, of the others, on the next too."""
         vocab = sorted(set().union(*docs))
         index = {w: i for i, w in enumerate(vocab)}
         rows = [np.array([index[w] for w in d], np.int64) for d in docs]
-        slots, tri, at = inputs(vocab)
+        slots, tri, at, stems = inputs(vocab)
+        self.choose(rows, slots, tri, at, stems)
+        slots, tri, at, stems = self.known(slots, tri, at, stems)
         rng, adam = np.random.default_rng(seed), gru.Adam(self.w, 0.01)
         pos, neg = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
         for s in range(steps):
@@ -111,9 +127,8 @@ class Net:
             n_tri = at[used + 1] - at[used]
             tris = tri[np.repeat(at[used] - np.concatenate([[0], np.cumsum(n_tri)[:-1]]), n_tri) + np.arange(n_tri.sum())]
             own = np.repeat(np.arange(len(used)), n_tri)
-            chars = np.zeros((len(used), DIM), np.float32)
-            np.add.at(chars, own, self.w["ec"][tris])
-            vec = np.concatenate([self.w["ew"][slots[used]], chars / n_tri[:, None].astype(np.float32)], 1)
+            chars = gru.scattered(own, self.w["ec"][tris], len(used))
+            vec = np.concatenate([self.w["ew"][slots[used]], chars / n_tri[:, None].astype(np.float32), self.w["es"][stems[used]].mean(1)], 1)
             gates = self.gates(vec)
             logit, flat, spans, owner = self.best(gates, cut)
             order = np.lexsort((-logit, owner))
@@ -124,22 +139,44 @@ class Net:
             tapes: tuple[list, list] = ([], [])
             z, (h, a, p, pooled) = self.logits(gates[0][idx], gates[1][idx], lengths, tapes)
             y = labels[picked][owner[chosen]].astype(np.float32)
-            g = (gru.sigmoid(z) - y) * np.where(y == 1, 1 / y.sum(), 1 / (1 - y).sum()).astype(np.float32)
+            g = (gru.sigmoid(z) - y) * np.where(y == 1, 1 / y.sum(), 1.5 / (1 - y).sum()).astype(np.float32)
             dp = np.outer(g, self.w["wo"])
             da = np.einsum("nk,tnk->tn", dp, h)
             ds = p * (da - (p * da).sum(0))
             dt = ds[:, :, None] * self.w["va"] * (1 - a * a)
             dh = p[:, :, None] * dp + dt @ self.w["wa"].T
             dx, dy, duf, dub = gru.both_ways_back(dh.astype(np.float32), lengths, self.w["uf"], self.w["ub"], tapes)
-            gx, gy = np.zeros_like(gates[0]), np.zeros_like(gates[1])
-            np.add.at(gx, idx, dx)
-            np.add.at(gy, idx, dy)
+            gx, gy = gru.scattered(idx, dx, len(used)), gru.scattered(idx, dy, len(used))
             dv = gx @ self.w["xf"].T + gy @ self.w["xb"].T
-            grads = {"uf": duf, "ub": dub, "wa": np.tensordot(h, dt, ((0, 1), (0, 1))), "va": np.tensordot(ds, a, ((0, 1), (0, 1))), "wo": g @ pooled, "bo": g.sum(keepdims=True), "xf": vec.T @ gx, "xb": vec.T @ gy, "ew": np.zeros_like(self.w["ew"]), "ec": np.zeros_like(self.w["ec"])}
-            np.add.at(grads["ew"], slots[used], dv[:, :DIM])
-            np.add.at(grads["ec"], tris, (dv[:, DIM:] / n_tri[:, None].astype(np.float32))[own])
+            grads = {"uf": duf, "ub": dub, "wa": np.tensordot(h, dt, ((0, 1), (0, 1))), "va": np.tensordot(ds, a, ((0, 1), (0, 1))), "wo": g @ pooled, "bo": g.sum(keepdims=True), "xf": vec.T @ gx, "xb": vec.T @ gy}
+            grads["ew"] = gru.scattered(slots[used], dv[:, :DIM], len(self.w["ew"]))
+            grads["ec"] = gru.scattered(tris, (dv[:, DIM : 2 * DIM] / n_tri[:, None])[own], len(self.w["ec"]))
+            grads["es"] = gru.scattered(stems[used], np.repeat(dv[:, None, 2 * DIM :] / len(STEMS), len(STEMS), 1), len(self.w["es"]))
+            for k in ("ew", "ec", "es"):
+                grads[k][0] = 0
             adam.step({k: v.astype(np.float32) for k, v in grads.items()}, 1.0 if s < steps * 0.6 else 0.3)
 
+    def known(self, slots: np.ndarray, tri: np.ndarray, at: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Slots as rows of the embeddings; row 0, which is zero, stands for all that few documents had."""
+        return self.rows["ew"][slots], self.rows["ec"][tri], at, self.rows["es"][stems]
+
+    def choose(self, docs: list[np.ndarray], slots: np.ndarray, tri: np.ndarray, at: np.ndarray, stems: np.ndarray) -> None:
+        """Give rows to the slots that as many documents have as LEAST and LEAST_SHARE say."""
+        seen = {"ew": np.zeros(WORD_SLOTS), "ec": np.zeros(CHAR_SLOTS), "es": np.zeros(CHAR_SLOTS + 1)}
+        for r in docs:
+            u = np.unique(r)
+            n = at[u + 1] - at[u]
+            seen["ew"][np.unique(slots[u])] += 1
+            seen["ec"][np.unique(tri[np.repeat(at[u] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
+            seen["es"][np.unique(stems[u])] += 1
+        seen["es"][CHAR_SLOTS] = 0
+        self.rows = {}
+        for k, v in seen.items():
+            chosen = v >= max(LEAST, LEAST_SHARE * len(docs))
+            self.rows[k] = np.where(chosen, np.cumsum(chosen), 0).astype(np.int32)
+            self.w[k] = (self.rng.normal(size=(int(chosen.sum()) + 1, DIM)) * 0.3).astype(np.float32)
+            self.w[k][0] = 0
+
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[Net | None, float]:
     """(network, prior) from labelled documents that aren't held out. No network without both labels."""
@@ -174,7 +211,7 @@ class _Scorer:
         new = list(set().union(*words).difference(self.at))
         for lo in range(0, len(new), 50_000):
             part = new[lo : lo + 50_000]
-            for i, g in enumerate(self.net.gates(self.net.vectors(part)[0])):
+            for i, g in enumerate(self.net.gates(self.net.vectors(part))):
                 if self.n + len(part) > len(self.gates[i]):
                     self.gates[i] = np.concatenate([self.gates[i][: self.n], np.empty((max(self.n // 2, len(part)) + 1024, 3 * HIDDEN), np.float32)])
                 self.gates[i][self.n : self.n + len(part)] = g
@@ -197,7 +234,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels' prior (0 without any). Other columns are ignored.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    python_ready(spark)
     net, prior = fit(docs, labels)
     shared = spark.sparkContext.broadcast(net)  # under 1 MB, whatever the corpus
     key = int(np.frombuffer(np.random.default_rng().bytes(8), np.int64)[0])
