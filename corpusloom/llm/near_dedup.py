@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, joined, saved
+from .common import python_ready, joined, saved
 from .components import components, with_component
 
 WORDS, BINS, ROWS = 5, 128, 4
@@ -92,7 +92,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), key (16 bytes that stand for the set), bands (array; null if n is 0) of every row."""
-    arrow_rows(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
