@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes up to which a side of a join is broadcast; larger sides are shuffled.
@@ -78,5 +78,13 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes
     return left.join(F.broadcast(right) if small_enough(right, row_bytes) else right, on, how)
 
 
+def fit_sample(docs: DataFrame, most: int, *columns: str) -> list[Row]:
+    """doc_id and columns of the `most` rows with the smallest xxhash64(doc_id), in that order. Ids are chosen first: what each task
+    sends for the choice is ids, not texts. Of rows that repeat a doc_id, as many as fit."""
+    ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.xxhash64("doc_id").alias("_hash"), *columns).collect()
+    return sorted(rows, key=lambda r: (r["_hash"], r["doc_id"]))[:most]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

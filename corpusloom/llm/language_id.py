@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import python_ready, crc_mod
+from .common import crc_mod, fit_sample, python_ready
 
 #: Labelled documents to learn from, at most: those with the smallest xxhash64(doc_id) among those of at most FIT_BYTES bytes.
 FIT_ROWS, FIT_BYTES = 1500, 20_000
@@ -100,7 +100,7 @@ class Net:
 def fit(docs: DataFrame, most: int = FIT_ROWS) -> Net | None:
     """The network, from at most `most` documents with text and lang that aren't held out. None without any."""
     rows = docs.select("doc_id", "text", "lang").filter((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & (F.octet_length("text") <= FIT_BYTES))
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    got = fit_sample(rows, most, "text", "lang")
     langs = sorted({r["lang"] for r in got if r["text"].strip()})
     if not langs:
         return None
