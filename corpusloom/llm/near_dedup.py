@@ -7,9 +7,9 @@
 3. In each bucket, the representative that meets most others is the hub. Pairs are hub and member: as many as members, not
    their square. Links are confirmed on full sets, and linked representatives form components.
 4. What the star left out is finished exactly: pairs in a bucket in different components that haven't been
-   compared. For these the shingles that occur elsewhere are counted; a pair with n and m shingles of which p and q occur
-   elsewhere shares min(p, q) at most, which decides nearly all such pairs (heavily edited copies) without comparing sets. The
-   rest is compared on full sets, and components are made again.
+   compared. For these the shingles that occur elsewhere are counted. If x and y have p and q such shingles, and share s and t
+   with their bucket's hub, they share min(s, t) in the hub and min(p - s, q - t) outside it at most, which decides nearly all such
+   pairs (heavily edited copies) without comparing sets. The rest is compared on full sets, and components are made again.
 """
 
 from __future__ import annotations
@@ -122,14 +122,13 @@ def _possible(shared: str, n: str, m: str) -> str:
     return f"100 * {shared} >= {PERCENT} * ({n} + {m} - {shared})"
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Sizes are compared first."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, s): sizes and common shingles of the pairs' full sets, for pairs whose sizes allow a link."""
     sizes = sets.select("doc_id", "n")
     fit = joined(joined(pairs, sizes.toDF("a", "na"), ["a"], "inner", 24), sizes.toDF("b", "nb"), ["b"], "inner", 24).filter(_possible("least(na, nb)", "na", "nb"))
     rows = fit.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
     rows = rows.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
-    same = rows.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("s"))
-    return same.filter(_possible("s", "na", "nb")).select("a", "b")
+    return rows.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("s"))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -157,24 +156,30 @@ def near_components(docs: DataFrame) -> DataFrame:
     cand = fame.select(F.col("rep").alias("doc_id"))
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
     sets = saved(full_sets(joined(texts, saved(cand, "candidates"), ["doc_id"], "left_semi", 24)), "sets")
-    links = saved(confirmed(starred.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets), "star-links")
+    star = saved(compared(starred.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets), "star-pairs")
+    links = star.filter(_possible("s", "na", "nb")).select("a", "b")
     parts = components(links)
 
     # buckets in which members other than the hub are in different components have pairs that weren't compared
     placed = with_component(starred, parts, "rep")
     others = placed.filter("rep <> hub")
     split = others.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    left = saved(joined(others.select("band", "rep", "component"), saved(split, "split"), ["band"], "left_semi", 24), "left")
+    left = joined(others.select("band", "rep", "component", "hub"), saved(split, "split"), ["band"], "left_semi", 24)
+    left = saved(joined(left, star.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "s"), ["hub", "rep"], "left", 48), "left")
     if not left.isEmpty():
-        inside = left.select(F.col("rep").alias("doc_id")).distinct()
+        inside = left.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct()
         their = saved(joined(sets, saved(inside, "inside"), ["doc_id"], "left_semi", 24), "left-sets")
         each = their.select("doc_id", "n", F.explode("hashes").alias("h"))
         often = each.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
         known = saved(each.join(often, "h").groupBy("doc_id", "n").agg(F.count("*").alias("p")).filter(f"100 * p >= {PERCENT} * n"), "known")
-        open_ = saved(joined(left, known.withColumnRenamed("doc_id", "rep"), ["rep"], "inner", 40), "open")
-        one, two = open_.toDF(*("x_" + c if c != "band" else c for c in open_.columns)), open_.toDF(*("y_" + c if c != "band" else c for c in open_.columns))
-        pairs = one.join(two, (one["band"] == two["band"]) & F.expr("x_rep < y_rep and x_component <> y_component and " + _possible("least(x_p, y_p)", "x_n", "y_n")))
-        more = saved(confirmed(saved(pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), "open-pairs"), their), "more-links")
+        open_ = saved(joined(left, known.withColumnRenamed("doc_id", "rep"), ["rep"], "inner", 40), "open").drop("hub")
+        open_ = open_.join(open_.groupBy("rep").agg(F.collect_set("band").alias("bands")), "rep")  # BANDS at most
+        one, two = (open_.toDF(*(f"{side}_{c}" for c in open_.columns)) for side in "xy")
+        most = "least(x_p, y_p, coalesce(least(x_s, y_s) + least(x_p - x_s, y_p - y_s), x_p))"
+        once = "array_min(array_intersect(x_bands, y_bands)) = x_band"  # in the first of their common buckets
+        pairs = one.join(two, F.expr(f"x_band = y_band and x_rep < y_rep and x_component <> y_component and {_possible(most, 'x_n', 'y_n')} and {once}"))
+        again = compared(saved(pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")), "open-pairs"), their)
+        more = saved(again.filter(_possible("s", "na", "nb")).select("a", "b"), "more-links")
         if not more.isEmpty():
             parts = components(links.unionByName(more))
     out = with_component(member, parts, "rep").select(
