@@ -86,6 +86,7 @@ class Bpe:
                     l.append(a), r.append(b), rank.append(n)
         self._table("merges", l=np.array(l, np.int32), r=np.array(r, np.int32), rank=np.array(rank, np.int64))
         self._table("vocab", id=np.array(list(self.ranks.values()), np.int32), hex=[t.hex() for t in self.ranks])
+        self.most = KEPT
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -143,7 +144,7 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.young) > KEPT // 2:
+        if len(self.young) > self.most // 2:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         cuts = [_CUT.findall(t) for t in texts]
@@ -240,18 +241,20 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, lean: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes: each text encoded, and its ids decoded.
 
     Null and empty texts have no tokens; repeated rows come out alike; words of any length are contracted whole. Other columns are
-    ignored. Encoding and decoding share a worker, so ids don't cross between processes.
+    ignored. Encoding and decoding share a worker, so ids don't cross between processes. lean: for executors that other work shares; workers
+    keep an eighth of the words, take texts in smaller groups, and give their memory back after each task.
     """
     python_ready(docs.sparkSession)
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for t in grouped(batches, "text"):
+        bpe.most = KEPT // 8 if lean else KEPT
+        for t in grouped(batches, "text", GROUP_CHARS // 4 if lean else GROUP_CHARS):
             ids = bpe.encode(t["text"].to_pylist())
             back = bpe.decode(ids)
             yield pa.record_batch(
@@ -263,5 +266,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     "n_bytes": pa.array(map(len, back), pa.int64()),
                 }
             )
+        if lean:
+            _LOADED.pop((path, pattern)).db.close()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
