@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import python_ready, saved
 
@@ -26,9 +27,47 @@ SLOTS, KEPT, GRID = 1 << 14, 250_000, 50
 STEPS, PULL, CLOSE = 80, 1e-3, 5e-4
 
 
-def _slots(word: bytes) -> np.ndarray:
-    d = np.frombuffer(b" " + word + b" ", np.uint8).astype(np.uint32)
-    return ((d[:-2] | d[1:-1] << 8 | d[2:] << 16) * np.uint32(2654435761)) >> np.uint32(18)
+def _slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of all words' trigrams, with a space at both ends, and where each word's begin."""
+    n = np.array([len(w) for w in words])
+    d = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8).astype(np.uint32)
+    tri = ((d[:-2] | d[1:-1] << 8 | d[2:] << 16) * np.uint32(2654435761)) >> np.uint32(18)
+    first = np.cumsum(n + 2) - (n + 2)
+    inside = np.ones(len(tri), bool)
+    for e in (first[1:] - 1, first[1:] - 2):  # trigrams across two words
+        inside[e] = False
+    return tri[inside].astype(np.int64), np.cumsum(n) - n
+
+
+class _Members:
+    """A worker's kept words: their trigrams' log probabilities in each domain, added up."""
+
+    def __init__(self, model: Classifier) -> None:
+        self.model, self.at, self.sums, self.n = model, {}, np.empty((4096, len(model.domains)), np.float32), 0
+
+    def posteriors(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        if len(self.at) > KEPT:
+            self.at, self.n = {}, 0
+        new = list(set().union(*texts).difference(self.at))
+        if new:
+            tri, at = _slots(new)
+            if self.n + len(new) > len(self.sums):
+                self.sums = np.concatenate([self.sums[: self.n], np.empty((max(self.n // 2, len(new)) + 4096, self.sums.shape[1]), np.float32)])
+            self.sums[self.n : self.n + len(new)] = np.add.reduceat(self.model.logs[tri], at)
+            self.at.update(zip(new, range(self.n, self.n + len(new)), strict=True))
+            self.n += len(new)
+        return [self._posterior(t) for t in texts]
+
+    def _posterior(self, words: list[bytes]) -> np.ndarray:
+        y = self.model.prior
+        if words:
+            idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            y = y + self.sums[idx].sum(0, dtype=np.float64) / np.sqrt(sum(map(len, words)))
+        p = np.exp(y - y.max())
+        p /= p.sum()
+        q = np.floor(p * GRID)
+        q[np.argsort(q - p * GRID, kind="stable")[: round(GRID - q.sum())]] += 1
+        return q / GRID
 
 
 @dataclass
@@ -48,8 +87,8 @@ def learn(docs: DataFrame, labelled: DataFrame, most: int = FIT_ROWS) -> Classif
     for r in rows:
         k = domains.index(r["domain"])
         n[k] += 1
-        for w in r["text"].encode().lower().split():
-            np.add.at(counts[:, k], _slots(w), 1)
+        if words := r["text"].encode().lower().split():
+            counts[:, k] += np.bincount(_slots(words)[0], minlength=SLOTS)
     return Classifier(domains, np.log(n / n.sum()), np.log(counts / counts.sum(0)))
 
 
@@ -58,35 +97,17 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     spark = docs.sparkSession
     python_ready(spark)
     shared = spark.sparkContext.broadcast(model)  # slots times domains, whatever the corpus
-    kept: dict[bytes, np.ndarray] = {}
-
-    def posterior(words: list[bytes], m: Classifier) -> np.ndarray:
-        y = m.prior.copy()
-        if words:
-            total = sum(map(kept.__getitem__, words))
-            y = y + total / np.sqrt(sum(map(len, words)))
-        p = np.exp(y - y.max())
-        p /= p.sum()
-        q = np.floor(p * GRID)
-        q[np.argsort(q - p * GRID, kind="stable")[: int(round(GRID - q.sum()))]] += 1
-        return q / GRID
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        members = _Members(shared.value)
         for b in batches:
-            docs_words = [(t or "").encode().lower().split() for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            if len(kept) > KEPT:
-                kept.clear()
-            for w in set().union(*docs_words).difference(kept):
-                kept[w] = m.logs[_slots(w)].sum(0)
-            p = [posterior(w, m) for w in docs_words]
+            words = [(t or "").encode().lower().split() for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            p = members.posteriors(words) if shared.value.domains else [[] for _ in words]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(map(len, docs_words), pa.int64()), pa.array(p, pa.list_(pa.float64()))],
+                [*b.columns, pa.array(map(len, words), pa.int64()), pa.array(p, pa.list_(pa.float64()))],
                 names=[*b.schema.names, "_tokens", "_p"],
             )
 
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
-
     kind = StructType([*docs.schema.fields, StructField("_tokens", LongType()), StructField("_p", ArrayType(DoubleType()))])
     return docs.mapInArrow(run, kind)
 
