@@ -195,6 +195,12 @@ def loaded(path: str, pattern: str) -> Bpe:
     return _LOADED[path, pattern]
 
 
+def forget(path: str, pattern: str) -> None:
+    """Give this process's vocabulary back."""
+    if (path, pattern) in _LOADED:
+        _LOADED.pop((path, pattern)).db.close()
+
+
 def grouped(batches: Iterator[pa.RecordBatch], column: str, chars: int = GROUP_CHARS) -> Iterator[pa.Table]:
     """Batches put together until their texts have so many bytes; batches that are larger are cut."""
     held: list[pa.RecordBatch] = []
@@ -267,6 +273,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, lean: bool = False) ->
                 }
             )
         if lean:
-            _LOADED.pop((path, pattern)).db.close()
+            forget(path, pattern)
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
