@@ -90,14 +90,14 @@ def breakdown(units: DataFrame, parents: DataFrame, group: str, labels: list[str
     """
     n_parents = parents.groupBy(text_of(group).alias(group)).agg(F.count("*").alias("samples"))
     named = units.select(text_of(group).alias(group), *[F.when(is_blank(x), F.lit(EMPTY)).otherwise(F.col(x)).alias(x) for x in labels])
-    long = named.groupingSets([[F.col(group)], *[[F.col(group), F.col(x)] for x in labels]], group, *labels).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    long = named.groupingSets([[F.col(group)], *[[F.col(group), F.col(x)] for x in labels]], group, *labels).agg(F.count("*").alias("n"), F.grouping_id().alias("_gid"))
     whole = (1 << len(labels)) - 1
     parts = []
     for i, x in enumerate(labels):
-        mine = long.filter(F.col("g") == whole - (1 << (len(labels) - 1 - i)))
+        mine = long.filter(F.col("_gid") == whole - (1 << (len(labels) - 1 - i)))
         listed = mine.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(x).alias("k")))).alias("a"))
         parts.append(listed.select(group, F.array_join(F.transform("a", lambda s: F.concat(s["k"], F.lit(":"), (-s["m"]).cast("string"))), ",").alias(f"{x}_counts")))
-    out = n_parents.join(long.filter(F.col("g") == whole).select(group, F.col("n").alias("units")), group, "left").withColumn("units", F.coalesce("units", F.lit(0)))
+    out = n_parents.join(long.filter(F.col("_gid") == whole).select(group, F.col("n").alias("units")), group, "left").withColumn("units", F.coalesce("units", F.lit(0)))
     for p in parts:
         out = out.join(p, group, "left")
     return out.select(group, "samples", "units", int_rate(F.col("units"), F.col("samples"), 3).alias("units_per_sample"), *[F.coalesce(f"{x}_counts", F.lit("")).alias(f"{x}_counts") for x in labels])

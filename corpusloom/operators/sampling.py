@@ -56,9 +56,9 @@ def stratum_codes(sample: DataFrame, dims: list[str], order: str = "pick") -> Da
 def coverage(sample: DataFrame, dims: list[str]) -> DataFrame:
     """(dim, value, n) of the drawn sample, by grouping sets: one pass for all dimensions."""
     named = sample.select(*[text_of(d).alias(d) for d in dims])
-    sets = named.groupingSets([[F.col(d)] for d in dims], *dims).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    sets = named.groupingSets([[F.col(d)] for d in dims], *dims).agg(F.count("*").alias("n"), F.grouping_id().alias("_gid"))
     whole = (1 << len(dims)) - 1
-    dim = reduce(lambda acc, i: acc.when(F.col("g") == whole - (1 << (len(dims) - 1 - i)), dims[i]), range(1, len(dims)), F.when(F.col("g") == whole - (1 << (len(dims) - 1)), dims[0]))
+    dim = reduce(lambda acc, i: acc.when(F.col("_gid") == whole - (1 << (len(dims) - 1 - i)), dims[i]), range(1, len(dims)), F.when(F.col("_gid") == whole - (1 << (len(dims) - 1)), dims[0]))
     return sets.select(dim.alias("dim"), F.coalesce(*dims).alias("value"), "n")
 
 
