@@ -295,18 +295,12 @@ def test_windows_cover_every_word():
 
 
 def test_toxicity_on_held_out_rows(spark):
-    rng = random.Random(6)
-    plain, bad = [f"w{i}" for i in range(200)], ["vile", "grob"]
-    rows = []
-    for i in range(400):
-        w = [rng.choice(plain) for _ in range(rng.randrange(5, 120))]
-        if toxic := i % 4 == 0:
-            w[rng.randrange(len(w))] = rng.choice(bad) + rng.choice(["", "!", "er", "heit"])
-        rows.append((i, " ".join(w), int(toxic)))
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
-    out = toxicity.toxicity(docs, labels_of(spark, [(i, 1, y) for i, _, y in rows])).collect()
-    held = [(r["predicted"], rows[r["doc_id"]][2]) for r in out if r["held_out"]]
-    assert sum(p == y for p, y in held) / len(held) > 0.9
+    docs, marks = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = toxicity.toxicity(docs, marks).join(marks, "doc_id").filter("held_out").collect()
+    caught = [r["predicted"] for r in rows if r["toxic"] == 1]
+    alarms = [r["predicted"] for r in rows if r["toxic"] == 0]
+    # a sixth of the toxic texts there have no word that tells
+    assert sum(caught) / len(caught) > 0.7 and sum(alarms) / len(alarms) < 0.05
 
 
 # Language model
