@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as the embedding of its hash (without marks at its ends), the mean embedding of its character trigrams, and that of
-its beginnings of three to eight bytes. Words, trigrams and beginnings that few of the training documents have
+its beginnings of three to eight bytes. A word over 64 bytes (text without ASCII spaces) enters as several words: its parts between other spaces and
+marks, and of parts still as long overlapping pieces. Words, trigrams and beginnings that few of the training documents have
 stay zero, so that no document is learned by heart. The network reads windows of 32 words, one every 16, so that each word has context on both sides in one of
 them; attention pools a window's states into one probability. A text's score is its largest window's. A
 document's label says only that some window is toxic, so training descends on each document's highest windows.
@@ -9,6 +10,7 @@ document's label says only that some window is toxic, so training descends on ea
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +31,30 @@ WORD_SLOTS, CHAR_SLOTS, KEPT = 1 << 15, 1 << 15, 150_000
 STEMS, LEAST, LEAST_SHARE = range(3, 9), 3, 0.003
 THRESHOLD = 0.3
 MARKS = b".,;:!?\"'()[]*#$%&|<>-"
+#: Bytes of a word, at most; longer ones are read in parts. Characters of a piece (64 bytes at most) of a part still as long, and from one piece to the next.
+LONG, PIECE, PIECE_STEP = 64, 16, 8
+_BREAKS = r"\s!-&(-/:-@\[-`{-~\u2010-\u2018\u201a-\u205e\u3001-\u303f\uff01-\uff0f\uff1a-\uff20"
+_PARTS = re.compile(f"[^{_BREAKS}]+[{_BREAKS}]*|[{_BREAKS}]+")
 
 
 def split(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+    words = (text or "").encode().lower().split()
+    if any(len(w) > LONG for w in words):
+        return [p for w in words for p in (parts(w) if len(w) > LONG else [w])]
+    return words
+
+
+def parts(word: bytes) -> list[bytes]:
+    """All of a long word: its parts up to spaces and marks, and overlapping pieces of those over LONG bytes, which end where the part ends."""
+    out = []
+    for part in _PARTS.findall(word.decode()):
+        part = part.strip() or part
+        if len(part.encode()) <= LONG:
+            out.append(part.encode())
+        else:
+            starts = range(0, max(len(part) - PIECE, 0) + PIECE_STEP, PIECE_STEP)
+            out.extend(part[i : i + PIECE].encode() for i in starts)
+    return out
 
 
 def inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +62,7 @@ def inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     (word, length), CHAR_SLOTS for those longer than the word."""
     bare = [w.strip(MARKS) or w for w in words]
     slots = np.array([xxhash.xxh32_intdigest(w) % WORD_SLOTS for w in bare], np.int64)
-    framed = [b"^" + w[:64] + b"$" for w in words]
+    framed = [b"^" + w + b"$" for w in words]
     data = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint32)
     n = np.array([len(f) for f in framed])
     ends = np.cumsum(n)

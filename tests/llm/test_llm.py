@@ -294,6 +294,28 @@ def test_windows_cover_every_word():
     assert toxicity.windows(0) == []
 
 
+def test_toxicity_past_byte_64_of_unspaced_text():
+    word = "\u4f60\u597d" * 30 + "\u00a0kretin,\u3000" + "z" * 70
+    assert toxicity.split("a b") == [b"a", b"b"]
+    got = b"".join(toxicity.split(word))
+    assert all(len(w) <= 64 for w in toxicity.split(word)) and b"kretin," in toxicity.split(word)
+    assert all(word.encode()[i : i + 3] in got for i in range(170)) and got.endswith(b"z" * 8)
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(40)]
+    filler = lambda n: [str(w) for w in rng.choice(plain, n)]
+    docs = [(filler(20), 0) for _ in range(60)] + [([*filler(12), "kretin", *filler(7)], 1) for _ in range(60)]
+    net = toxicity.Net()
+    net.train([toxicity.split(" ".join(w)) for w, _ in docs], np.array([y for _, y in docs]), steps=150)
+    bad, good = [*filler(30), "kretin", *filler(10)], filler(41)
+    scorer = toxicity._Scorer(net)
+    for mark in ("\u00a0", "\u3000", ","):
+        scores = scorer.score([mark.join(bad), mark.join(good)])
+        assert scores[0] > toxicity.THRESHOLD > scores[1]
+    # without any break, pieces carry the passage: text before it is far over 64 bytes
+    joined = scorer.score(["".join(bad), "".join(good)])
+    assert joined[0] > joined[1]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, marks = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = toxicity.toxicity(docs, marks).join(marks, "doc_id").filter("held_out").collect()
