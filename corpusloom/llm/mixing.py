@@ -2,14 +2,16 @@
 
 1. Domains come from a labelled table (doc_id, domain): a naive Bayes classifier over byte trigrams is learned from a bounded sample of
    it. Every document gets a posterior over domains, tempered by its length and rounded to fiftieths.
-2. Rates r >= 0 minimise the squared relative errors of the domains' expected totals, sum of r * tokens * posterior, plus a small pull to 1,
-   by projected gradient. The gradient of a rate depends on the document's posterior only, so a rate is a function of the
-   posterior; token counts are summed by posterior first, and each step is one distributed aggregate over these sums.
+2. Rates r >= 0 are those nearest to 1 whose expected totals of the domains, sum of r * tokens * posterior, meet the targets: a multiplier for each
+   domain makes the rate of a posterior p the projection of 1 + multipliers * p onto the bounds. The gradient in the multipliers, which is
+   how far totals are off, is preconditioned by its curvature. A step is one distributed aggregate, tried at several dampings, the strongest
+   of which can't overshoot; steps go on until each relative error is below CLOSE. Targets that no rates meet are approached, with a warning.
 3. A rate becomes whole copies: its floor, and one more if a hash of doc_id, uniform in 0 to 1, is below the rest.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,9 @@ from .common import python_ready, saved
 #: Labelled documents to learn from, at most: those with the smallest xxhash64(doc_id) among those of at most FIT_BYTES bytes.
 FIT_ROWS, FIT_BYTES = 2000, 20_000
 SLOTS, KEPT, GRID = 1 << 14, 250_000, 50
-STEPS, PULL, CLOSE = 80, 1e-3, 5e-4
+STEPS, PULL, CLOSE = 200, 1e-7, 5e-4
+#: Shares of the whole curvature that are added to the present one, in the tries of a step.
+DAMPINGS = (0.0, 0.01, 0.1, 1.0)
 
 
 def _slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,59 +118,84 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
 @dataclass
 class Mix:
-    """The steps' gradients, from which any posterior's rate follows; and how far totals are from their targets."""
+    """The domains' multipliers, from which any posterior's rate follows; totals, their targets, and the largest relative error."""
 
-    gradients: list[list[float]]
-    step: float
+    multipliers: list[float]
     low: float
     high: float
     totals: dict[str, float]
     targets: dict[str, float]
+    error: float = 0.0
 
     def rate(self, p: Column) -> Column:
-        steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in self.gradients]) if self.gradients else F.array().cast("array<array<double>>")
+        at = F.array(*map(F.lit, self.multipliers)) if self.multipliers else F.array().cast("array<double>")
+        moved = F.aggregate(F.zip_with(p, at, lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(1.0), lambda s, x: s + x)
+        return F.greatest(F.lit(self.low), F.least(F.lit(self.high), moved))
 
-        def move(r: Column, g: Column) -> Column:
-            slope = F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-            return F.greatest(F.lit(self.low), F.least(F.lit(self.high), r - self.step * (slope + PULL * (r - 1.0))))
 
-        return F.aggregate(steps, F.lit(float(np.clip(1.0, self.low, self.high))), move)
+def _sums(groups: DataFrame, tries: np.ndarray, low: float, high: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each row of multipliers the dual value, the totals, and the curvature: sums over the rows of groups (_p, n)."""
+    k, d = tries.shape
 
-
-def solve(posteriors: DataFrame, domains: list[str], weights: dict[str, float] | None, power: float = 0.0, low: float = 0.0, high: float = 64.0, whole: bool = False) -> Mix:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((k, 1 + d + d * d))
+        for b in batches:
+            p = b.column("_p").flatten().to_numpy().reshape(-1, d)
+            n = b.column("n").to_numpy().astype(float)
+            for row, at in zip(out, tries, strict=True):
+                s = p @ at
+                v = np.clip(s, low - 1, high - 1)
+                row[0] += n @ (s * v - v * v / 2 + s)
+                row[1 : 1 + d] += (n * (1 + v)) @ p
+                row[1 + d :] += (p.T @ (p * (n * (s == v))[:, None])).ravel()
+        yield pa.record_batch({"sums": pa.array([out.ravel()], pa.list_(pa.float64()))})
+
+    parts = groups.select("_p", "n").mapInArrow(run, "sums array<double>").collect()  # a few numbers from each task
+    sums = np.sum([r["sums"] for r in parts], 0).reshape(k, -1) if parts else np.zeros((k, 1 + d + d * d))
+    return [(float(r[0]), r[1 : 1 + d], r[1 + d :].reshape(d, d)) for r in sums]
+
+
+def solve(posteriors: DataFrame, domains: list[str], weights: dict[str, float] | None, power: float = 0.0, low: float = 0.0, high: float = float("inf"), whole: bool = False) -> Mix:
     """Rates for target weights (or, if None, the domains' present shares to `power`), from a table with _tokens and _p.
 
     The total is that of the table, or with `whole` the least one at which no domain needs less than it has. A domain without tokens gets
-    no target, as no rate can fill it.
+    no target, as no rate can fill it. Rates have no upper bound unless `high` gives one. Relative errors of targets below a thousandth of
+    all tokens are taken against that thousandth.
     """
     d = len(domains)
+    if not d:
+        return Mix([], low, high, {}, {})
     groups = saved(posteriors.filter("_tokens > 0").groupBy("_p").agg(F.sum("_tokens").alias("n")), "posteriors")
-
-    def total(rate: Column) -> np.ndarray:
-        row = groups.withColumn("r", rate).agg(*[F.coalesce(F.sum(F.col("r") * F.col("n") * F.col("_p")[k]), F.lit(0.0)).alias(f"t{k}") for k in range(d)]).first()
-        return np.array(list(row), float)
-
-    now = total(F.lit(1.0)) if d else np.zeros(0)
+    _, now, most = _sums(groups, np.zeros((1, d)), -np.inf, np.inf)[0]
     n = now.sum()
     live = now > 0
     if not n:
-        return Mix([], 0.0, low, high, {}, {})
+        return Mix([], low, high, {}, {})
     share = np.array([weights.get(x, 0.0) for x in domains]) if weights else np.where(live, (now / n) ** power, 0)
     share = np.where(live, share, 0)
     share = share / share.sum() if share.sum() else now / n
     target = share * (np.max(now[live] / np.maximum(share[live], 1e-12)) if whole else n)
     scale = np.maximum(target, 1e-3 * n)
-    square = groups.agg(*[F.sum(F.col("n") * F.col("_p")[i] * F.col("_p")[j]) for i in range(d) for j in range(d)]).first()
-    curve = np.array(list(square), float).reshape(d, d) / n * np.outer(n / scale, n / scale)
-    mix = Mix([], 1.0 / (np.linalg.eigvalsh(curve)[-1] + PULL), low, high, {}, dict(zip(domains, target.tolist(), strict=True)))
+    soft = PULL * (scale / n) ** 2 * n  # what a multiplier costs, so that targets that can't be met leave it finite
+    at = np.zeros(d)
+    value, now, curve = _sums(groups, at[None], low, high)[0]
     for _ in range(STEPS):
-        now = total(mix.rate(F.col("_p")))
-        error = (now - target) / scale
-        if np.abs(error).max() < CLOSE:
+        if np.abs((now - target) / scale).max() < CLOSE:
+            break
+        slope = now - target + soft * at
+        tries = np.stack([at - np.linalg.lstsq(curve + x * most + np.diag(soft), slope, rcond=1e-15)[0] for x in DAMPINGS])
+        found = _sums(groups, tries, low, high)
+        cost = [v - t @ target + (soft * t * t).sum() / 2 for (v, _, _), t in zip(found, tries, strict=True)]
+        best = int(np.argmin(cost))
+        if cost[best] >= value - at @ target + (soft * at * at).sum() / 2 - 1e-13 * n:
             break
-        mix.gradients.append((error * n / scale).tolist())
-    mix.totals = dict(zip(domains, total(mix.rate(F.col("_p"))).tolist(), strict=True))
-    return mix
+        at, (value, now, curve) = tries[best], found[best]
+    at = np.array([float(f"{x:.10g}") for x in at])  # not the last digits, which depend on the order of sums
+    now = _sums(groups, at[None], low, high)[0][1]
+    error = float(np.abs((now - target) / scale).max())
+    if error >= CLOSE:
+        warnings.warn(f"mixing: totals miss their targets by up to {error:.2%}: {dict(zip(domains, (now / target.clip(1e-12)).round(4).tolist(), strict=True))} of the targets", stacklevel=2)
+    return Mix(at.tolist(), low, high, dict(zip(domains, now.tolist(), strict=True)), dict(zip(domains, target.tolist(), strict=True)), error)
 
 
 def copies(rate: Column, doc_id: Column) -> Column:

@@ -371,6 +371,22 @@ def test_rates_meet_targets(spark):
     assert more.select("doc_id").distinct().count() == docs.count() < more.count() and more.columns == docs.columns
 
 
+def test_rates_meet_targets_of_rare_domains(spark):
+    for rare in (5, 1):  # thousandths of the tokens
+        counts = [500, 300, 200 - rare, rare]
+        rows = [(100, [float(i == k) for i in range(4)]) for k, n in enumerate(counts) for _ in range(n)]
+        table = spark.createDataFrame(rows, "_tokens long, _p array<double>")
+        for kwargs in ({}, {"low": 1.0, "whole": True}):
+            mix = mixing.solve(table, list("abcd"), dict.fromkeys("abcd", 1.0), **kwargs)
+            assert mix.error < mixing.CLOSE and all(abs(mix.totals[d] / t - 1) < 1e-3 for d, t in mix.targets.items())
+    soft = spark.createDataFrame([(100, [0.9, 0.1]), (100, [0.6, 0.4]), (100, [0.99, 0.01])] * 20 + [(3, [0.05, 0.95])], "_tokens long, _p array<double>")
+    mix = mixing.solve(soft, ["a", "b"], {"a": 1.0, "b": 1.0})
+    assert mix.error < mixing.CLOSE and soft.select(F.min(mix.rate(F.col("_p")))).first()[0] >= 0
+    few = spark.createDataFrame([(100, [0.6, 0.4]), (100, [0.9, 0.1])], "_tokens long, _p array<double>")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        assert mixing.solve(few, ["a", "b"], {"a": 0.0, "b": 1.0}).error > 0.01
+
+
 def test_licences():
     s = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
     assert s.best("Released under the MIT License.") == (1.0, "mit")
