@@ -1,7 +1,7 @@
 """Soft-membership mixing: document rates under which expected domain totals of tokens meet target weights.
 
-1. Domains come from a labelled table (doc_id, domain): a naive Bayes classifier over byte trigrams is learned from a bounded sample of
-   it. Every document gets a posterior over domains, tempered by its length and rounded to fiftieths.
+1. Domains come from a labelled table (doc_id, domain), all of it: each domain that a text has. A naive Bayes classifier over byte trigrams is
+   learned from a sample bounded for each domain. Every document gets a posterior over domains, tempered by its length and rounded to fiftieths.
 2. Rates r >= 0 are those nearest to 1 whose expected totals of the domains, sum of r * tokens * posterior, meet the targets: a multiplier for each
    domain makes the rate of a posterior p the projection of 1 + multipliers * p onto the bounds. The gradient in the multipliers, which is
    how far totals are off, is preconditioned by its curvature. A step is one distributed aggregate, tried at several dampings, the strongest
@@ -14,6 +14,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from .common import python_ready, saved
 
-#: Labelled documents to learn from, at most: those with the smallest xxhash64(doc_id) among those of at most FIT_BYTES bytes.
-FIT_ROWS, FIT_BYTES = 2000, 20_000
+#: Labelled documents to learn from, shared out over the domains, but at least FIT_LEAST of each that has them: those with the smallest
+#: xxhash64(doc_id). Of longer ones the first FIT_CHARS characters are learned from.
+FIT_ROWS, FIT_LEAST, FIT_CHARS = 2000, 20, 20_000
 SLOTS, KEPT, GRID = 1 << 14, 250_000, 50
 STEPS, PULL, CLOSE = 200, 1e-7, 5e-4
 #: Shares of the whole curvature that are added to the present one, in the tries of a step.
@@ -82,17 +84,30 @@ class Classifier:
 
 
 def learn(docs: DataFrame, labelled: DataFrame, most: int = FIT_ROWS) -> Classifier:
-    """From at most `most` documents of the labelled table (doc_id, domain). Rows with nulls don't count; no rows: no domains."""
+    """All domains of the labelled table (doc_id, domain) that have a text in docs, their shares of it, and trigrams of some documents of each.
+    Rows with nulls don't count; no rows: no domains."""
     known = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(ids), "doc_id").collect()
-    domains = sorted({r["domain"] for r in rows})
-    counts, n = np.ones((SLOTS, len(domains))), np.ones(len(domains))
+    there = saved(docs.filter("text <> ''").select("doc_id").distinct().join(known, "doc_id"), "labelled")
+    sizes = {r["domain"]: r["n"] for r in there.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    domains = sorted(sizes)
+    if not domains:
+        return Classifier([], np.zeros(0), np.zeros((SLOTS, 0)))
+    quota = max(most // len(domains), FIT_LEAST)
+    # ids below a hash that about twice the quota of their domain are below; a smaller domain's ids all are
+    limits = F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(min(1.0, (2 * quota + 20) / sizes[d])))])
+    near = there.withColumn("_hash", F.xxhash64("doc_id")).filter((F.col("_hash").cast("double") / 2.0**64 + 0.5) <= limits[F.col("domain")])
+    ids = []
+    for d, mine in groupby(sorted(near.collect(), key=lambda r: (r["domain"], r["_hash"], r["doc_id"])), lambda r: r["domain"]):
+        ids.extend((r["doc_id"], d) for r in islice(mine, quota))
+    chosen = docs.sparkSession.createDataFrame(ids, there.select("doc_id", "domain").schema)
+    texts = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).filter("text <> ''")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.max("text").alias("text")).collect()
+    counts = np.ones((SLOTS, len(domains)))
+    place = {d: k for k, d in enumerate(domains)}
     for r in rows:
-        k = domains.index(r["domain"])
-        n[k] += 1
         if words := r["text"].encode().lower().split():
-            counts[:, k] += np.bincount(_slots(words)[0], minlength=SLOTS)
+            counts[:, place[r["domain"]]] += np.bincount(_slots(words)[0], minlength=SLOTS)
+    n = np.array([sizes[d] + 1.0 for d in domains])
     return Classifier(domains, np.log(n / n.sum()), np.log(counts / counts.sum(0)))
 
 

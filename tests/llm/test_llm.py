@@ -387,6 +387,17 @@ def test_rates_meet_targets_of_rare_domains(spark):
         assert mixing.solve(few, ["a", "b"], {"a": 0.0, "b": 1.0}).error > 0.01
 
 
+def test_domains_are_those_of_the_whole_table(spark):
+    rows = [(i, "plain words of the common kind", "common") for i in range(3000)]
+    rows += [(5000, " ".join(f"selten{i} worte{i}" for i in range(300)), "rare"), (5001, "lange " * 6000, "long"), (5002, "", "empty"), (5003, None, "none"), (5004, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    model = mixing.learn(docs, docs.select("doc_id", "domain"), 50)
+    assert model.domains == ["common", "long", "rare"]
+    rows = mixing.with_posteriors(docs.filter("doc_id >= 5000").select("doc_id", "text"), model).collect()
+    best = {r["doc_id"]: model.domains[int(np.argmax(r["_p"]))] for r in rows}
+    assert best[5000] == "rare" and best[5001] == "long"
+
+
 def test_licences():
     s = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
     assert s.best("Released under the MIT License.") == (1.0, "mit")
