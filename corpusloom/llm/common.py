@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from itertools import groupby, islice
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -20,6 +21,8 @@ BROADCAST_BYTES = 32 << 20
 ARROW_ROWS = 512
 #: Applications whose executors have this package.
 _SHIPPED: set[str] = set()
+#: Scratch tables (application, path) that haven't been released.
+_WRITTEN: list[tuple[str, str]] = []
 #: ASCII white space, as words `[^\x20\x09-\x0D]+` leave it out. bytes.split() without arguments splits at the same six bytes.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -37,13 +40,37 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: a short lineage that outlives executors."""
+    """df written as Parquet into the shared folder and read again: a short lineage that outlives executors. The table goes with release(), or
+    when the driver's file system closes."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, fs = _on_disk(spark, path)
+    fs.deleteOnExit(at)
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _on_disk(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written() -> int:
+    """How many scratch tables there are: a mark for release()."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the scratch tables written since a mark, except those that `but` reads. For callers whose results are written."""
+    kept = set(but.inputFiles()) if but is not None else set()
+    for app, path in _WRITTEN[since:]:
+        if app == spark.sparkContext.applicationId and not any(path.rsplit("/", 1)[1] in f for f in kept):
+            at, fs = _on_disk(spark, path)
+            fs.delete(at, True)
+            _WRITTEN.remove((app, path))
+
+
 def python_ready(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Lower the session's Arrow batch size to `rows`, so that a batch of long texts fits in a Python worker; and
     hand this package to the executors, once for each application, as a zip file."""
@@ -78,12 +105,49 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes
     return left.join(F.broadcast(right) if small_enough(right, row_bytes) else right, on, how)
 
 
-def fit_sample(docs: DataFrame, most: int, *columns: str) -> list[Row]:
-    """doc_id and columns of the `most` rows with the smallest xxhash64(doc_id), in that order. Ids are chosen first: what each task
-    sends for the choice is ids, not texts. Of rows that repeat a doc_id, as many as fit."""
-    ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.xxhash64("doc_id").alias("_hash"), *columns).collect()
-    return sorted(rows, key=lambda r: (r["_hash"], r["doc_id"]))[:most]
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, whatever the case of letters."""
+    taken, name = {x.lower() for x in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """The ids, other than null, that more than one row has."""
+    return docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("doc_id")
+
+
+def stretches(text: Column, most: int, pieces: int = 6) -> Column:
+    """A text of at most `most` characters as it is; of a longer one as many pieces, from its beginning to its end, a line feed between."""
+    size, n = most // pieces, F.char_length(text)
+    parts = [F.substring(text, (F.floor((n - size) * i / (pieces - 1)) + 1).cast("int"), F.lit(size)) for i in range(pieces)]
+    return F.when(n > most, F.concat_ws("\n", *parts)).otherwise(text)
+
+
+def sample_by_label(docs: DataFrame, labelled: DataFrame, label: str, most: int, least: int, chars: int) -> tuple[dict, list[Row]]:
+    """What a classifier is fitted on: how many documents each label has, and rows (doc_id, label, text) of a bounded sample, in order.
+
+    labelled: rows (doc_id, label) of documents that have a text; nulls don't count, and a doc_id counts once, with its smallest label. Each
+    label gets an equal share of `most`, but at least `least`: its ids with the smallest xxhash64(doc_id). Of texts over `chars` characters
+    there are pieces from beginning to end. Ids are chosen first, and a repeated doc_id gives one text, the largest.
+    """
+    known = saved(labelled.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label")), "labelled")
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}, []
+    quota = max(most // len(sizes), least)
+    # ids below a hash that about twice the quota of their label are below; a smaller label's ids all are
+    limits = F.create_map(*[x for v in sizes for x in (F.lit(v), F.lit(min(1.0, (2 * quota + 20) / sizes[v])))])
+    near = known.withColumn("_hash", F.xxhash64("doc_id")).filter((F.col("_hash").cast("double") / 2.0**64 + 0.5) <= limits[F.col("label")])
+    ids = []
+    for v, mine in groupby(sorted(near.collect(), key=lambda r: (r["label"], r["_hash"], r["doc_id"])), lambda r: r["label"]):
+        ids.extend((r["doc_id"], v) for r in islice(mine, quota))
+    chosen = docs.sparkSession.createDataFrame(ids, known.select("doc_id", "label").schema)
+    texts = docs.filter("text <> ''").select("doc_id", stretches(F.col("text"), chars).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")).collect()
+    place = {i: n for n, i in enumerate(ids)}
+    return sizes, sorted(rows, key=lambda r: place[r["doc_id"], r["label"]])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

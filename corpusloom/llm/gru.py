@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
+
 import numpy as np
 
 F4 = np.float32
 
 
+@contextmanager
+def one_thread() -> Iterator[None]:
+    """numpy's BLAS on one thread, so that sums come in one order and training gives the same weights on any number of cores."""
+    libs = [lib for folder in ("numpy.libs", "numpy/.dylibs") for lib in (Path(np.__file__).resolve().parents[1] / folder).glob("*openblas*")]
+    before = None
+    for path in libs:
+        lib = ctypes.CDLL(str(path))
+        for stem in ("scipy_openblas_{}_num_threads64_", "scipy_openblas_{}_num_threads", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
+            if hasattr(lib, stem.format("set")):
+                before = (getattr(lib, stem.format("set")), getattr(lib, stem.format("get"))())
+                before[0](1)
+                break
+    try:
+        yield
+    finally:
+        if before:
+            before[0](before[1])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return F4(0.5) * (np.tanh(F4(0.5) * x) + F4(1))
 

@@ -1,11 +1,12 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as the embedding of its hash (without marks at its ends), the mean embedding of its character trigrams, and that of
-its beginnings of three to eight bytes. A word over 64 bytes (text without ASCII spaces) enters as several words: its parts between other spaces and
+A word enters as the embedding of its hash (without marks at its ends), the mean embedding of its character trigrams, and the scaled sum of
+those of its beginnings of three to eight bytes. A word over 64 bytes (text without ASCII spaces) enters as several words: its parts between other spaces and
 marks, and of parts still as long overlapping pieces. Words, trigrams and beginnings that few of the training documents have
 stay zero, so that no document is learned by heart. The network reads windows of 32 words, one every 16, so that each word has context on both sides in one of
 them; attention pools a window's states into one probability. A text's score is its largest window's. A
-document's label says only that some window is toxic, so training descends on each document's highest windows.
+document's label says only that some window is toxic, so training descends on each document's highest windows. What keeps it steady: several
+windows of a toxic document count, embeddings decay, the weights are the mean over the last steps, and BLAS has one thread.
 """
 
 from __future__ import annotations
@@ -20,16 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import python_ready, crc_mod
+from .common import crc_mod, python_ready, sample_by_label
 
-#: Labelled documents to learn from, at most, half of them toxic if there are as many: those with the smallest xxhash64(doc_id) among
-#: those of at most FIT_BYTES bytes.
-FIT_ROWS, FIT_BYTES = 3000, 8_000
+#: Labelled documents to learn from, at most, half of them toxic if there are as many; of longer ones as many characters, in pieces.
+FIT_ROWS, FIT_CHARS = 3000, 12_000
 WINDOW, STRIDE, HIDDEN, DIM, ATT = 32, 16, 8, 8, 8
 WORD_SLOTS, CHAR_SLOTS, KEPT = 1 << 15, 1 << 15, 150_000
 #: Beginnings of words, in bytes. Least documents that must have a feature: this many, and this share of the training documents.
 STEMS, LEAST, LEAST_SHARE = range(3, 9), 3, 0.003
 THRESHOLD = 0.3
+#: Steps of training, toxic documents in each, and as many others; their highest windows that count, of a toxic one and of another.
+STEPS, HALF, TOXIC_WINDOWS, OTHER_WINDOWS = 450, 24, 4, 2
+#: Words of a document that isn't toxic that a step reads, at most.
+RUN = 400
+#: Scale of the sum of a word's beginnings; what embeddings lose in a step; share of the steps after which weights are averaged.
+STEM_SCALE, DECAY, SETTLED = np.float32(0.4), np.float32(1 - 5e-4), 0.6
 MARKS = b".,;:!?\"'()[]*#$%&|<>-"
 #: Bytes of a word, at most; longer ones are read in parts. Characters of a piece (64 bytes at most) of a part still as long, and from one piece to the next.
 LONG, PIECE, PIECE_STEP = 64, 16, 8
@@ -98,7 +104,7 @@ class Net:
         """Each word's input vector."""
         slots, tri, at, stems = self.known(*inputs(words))
         chars = np.add.reduceat(self.w["ec"][tri], at[:-1]) / np.diff(at)[:, None].astype(np.float32)
-        return np.concatenate([self.w["ew"][slots], chars.astype(np.float32), self.w["es"][stems].mean(1)], 1)
+        return np.concatenate([self.w["ew"][slots], chars.astype(np.float32), self.w["es"][stems].sum(1) * STEM_SCALE], 1)
 
     def logits(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, tapes: tuple[list, list] | None = None) -> tuple[np.ndarray, tuple]:
         """A logit for each window from both directions' inputs (time, window, 3H)."""
@@ -131,8 +137,12 @@ class Net:
             out[part] = self.logits(gates[0][idx], gates[1][idx], lengths[part])[0]
         return out, flat, np.stack([first, lengths]), owner
 
-    def train(self, docs: list[list[bytes]], labels: np.ndarray, steps: int = 700, half: int = 24, seed: int = 13) -> None:
-        """Each step draws as many toxic documents as others, and descends on the highest window of each and, of the others, on the next too."""
+    def train(self, docs: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, half: int = HALF, seed: int = 13) -> None:
+        """Each step draws as many toxic documents as others, and descends on the highest windows of each."""
+        with gru.one_thread():
+            self._train(docs, labels, steps, half, seed)
+
+    def _train(self, docs: list[list[bytes]], labels: np.ndarray, steps: int, half: int, seed: int) -> None:
         vocab = sorted(set().union(*docs))
         index = {w: i for i, w in enumerate(vocab)}
         rows = [np.array([index[w] for w in d], np.int64) for d in docs]
@@ -141,21 +151,27 @@ class Net:
         slots, tri, at, stems = self.known(slots, tri, at, stems)
         rng, adam = np.random.default_rng(seed), gru.Adam(self.w, 0.01)
         pos, neg = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+        mean, late = {}, 0
         for s in range(steps):
             picked = np.concatenate([rng.choice(pos, half), rng.choice(neg, half)])
             mine = [rows[i] for i in picked]
+            for k in range(half, 2 * half):  # of a text that isn't toxic no window is, so a run of it will do, another one each time
+                if len(mine[k]) > RUN:
+                    lo = int(rng.integers(len(mine[k]) - RUN + 1))
+                    mine[k] = mine[k][lo : lo + RUN]
             used, local = np.unique(np.concatenate(mine), return_inverse=True)
             cut = np.split(local, np.cumsum([len(r) for r in mine])[:-1])
             n_tri = at[used + 1] - at[used]
             tris = tri[np.repeat(at[used] - np.concatenate([[0], np.cumsum(n_tri)[:-1]]), n_tri) + np.arange(n_tri.sum())]
             own = np.repeat(np.arange(len(used)), n_tri)
             chars = gru.scattered(own, self.w["ec"][tris], len(used))
-            vec = np.concatenate([self.w["ew"][slots[used]], chars / n_tri[:, None].astype(np.float32), self.w["es"][stems[used]].mean(1)], 1)
+            vec = np.concatenate([self.w["ew"][slots[used]], chars / n_tri[:, None].astype(np.float32), self.w["es"][stems[used]].sum(1) * STEM_SCALE], 1)
             gates = self.gates(vec)
             logit, flat, spans, owner = self.best(gates, cut)
             order = np.lexsort((-logit, owner))
             rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-            chosen = order[(rank == 0) | ((rank == 1) & (labels[picked][owner[order]] == 0))]
+            toxic = labels[picked][owner[order]] == 1
+            chosen = order[rank < np.where(toxic, TOXIC_WINDOWS, OTHER_WINDOWS)]
             first, lengths = spans[:, chosen]
             idx = flat[np.minimum(first[None, :] + np.arange(int(lengths.max()))[:, None], len(flat) - 1)]
             tapes: tuple[list, list] = ([], [])
@@ -173,10 +189,17 @@ class Net:
             grads = {"uf": duf, "ub": dub, "wa": np.tensordot(h, dt, ((0, 1), (0, 1))), "va": np.tensordot(ds, a, ((0, 1), (0, 1))), "wo": g @ pooled, "bo": g.sum(keepdims=True), "xf": vec.T @ gx, "xb": vec.T @ gy}
             grads["ew"] = gru.scattered(slots[used], dv[:, :DIM], len(self.w["ew"]))
             grads["ec"] = gru.scattered(tris, (dv[:, DIM : 2 * DIM] / n_tri[:, None])[own], len(self.w["ec"]))
-            grads["es"] = gru.scattered(stems[used], np.repeat(dv[:, None, 2 * DIM :] / len(STEMS), len(STEMS), 1), len(self.w["es"]))
+            grads["es"] = gru.scattered(stems[used], np.repeat(dv[:, None, 2 * DIM :] * STEM_SCALE, len(STEMS), 1), len(self.w["es"]))
             for k in ("ew", "ec", "es"):
                 grads[k][0] = 0
-            adam.step({k: v.astype(np.float32) for k, v in grads.items()}, 1.0 if s < steps * 0.6 else 0.3)
+            adam.step({k: v.astype(np.float32) for k, v in grads.items()}, 1.0 if s < steps * SETTLED else 0.3)
+            for k in ("ew", "ec", "es"):
+                self.w[k] *= DECAY
+            if s >= steps * SETTLED:
+                for k, v in self.w.items():
+                    mean[k] = mean.get(k, 0.0) + v.astype(float)
+                late += 1
+        self.w = {k: (v / late).astype(np.float32) for k, v in mean.items()}
 
     def known(self, slots: np.ndarray, tri: np.ndarray, at: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, ...]:
         """Slots as rows of the embeddings; row 0, which is zero, stands for all that few documents had."""
@@ -201,15 +224,11 @@ class Net:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[Net | None, float]:
-    """(network, prior) from labelled documents that aren't held out. No network without both labels."""
+    """(network, prior) from labelled documents that aren't held out; a document with two labels counts as toxic. No network without both labels."""
     free = labels.filter((crc_mod(F.col("doc_id"), 4) != 2) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    short = docs.filter(F.octet_length("text") <= FIT_BYTES).select("doc_id", "text")
-    got = []
-    for label in (1, 0):
-        # of twice as many candidates as needed: some texts are long or gone
-        ids = free.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        got += short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2).collect()
-    rows = [(split(r["text"]), r["toxic"]) for r in got]
+    there = free.join(docs.filter("text <> ''").select("doc_id").distinct(), "doc_id", "left_semi")
+    _, got = sample_by_label(docs, there, "toxic", most, 20, FIT_CHARS)
+    rows = [(split(r["text"]), r["label"]) for r in got]
     rows = [(w, y) for w, y in rows if w]
     y = np.array([y for _, y in rows], int)
     if len(set(y.tolist())) < 2:
