@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, joined, saved
+from .common import BROADCAST_BYTES, fresh, joined, repeated_ids, saved
 
 FIRST_DIGIT = 64
 DIGIT_GROWTH = 16
@@ -79,12 +79,17 @@ def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, limit: int = B
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts: the one with the largest doc_id.
 
-    All columns stay. Rows without doc_id stay. Rows that repeat both doc_id and text are brought down to one.
+    All columns stay. Rows without doc_id stay. Rows that repeat both doc_id and text are brought down to one; a doc_id that several texts have
+    loses only those rows whose text another id has too. A null text counts as empty. Where ids repeat, the digest names a row of its id; which
+    texts are equal was decided by bytes.
     """
-    dropped = saved(exact_groups(docs).filter("not kept").select("doc_id").distinct(), "radix-dropped")
-    kept = joined(docs, dropped, ["doc_id"], "left_anti", 24)
-    repeats = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if repeats.isEmpty():
-        return kept
-    again = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return again.unionByName(kept.filter("doc_id is null"))
+    sha = fresh(docs, "_text_sha256")
+    dropped = saved(exact_groups(docs).filter("not kept").select("doc_id", F.col("text_sha256").alias(sha)).distinct(), "radix-dropped")
+    again = saved(repeated_ids(docs), "repeated-ids")
+    if again.isEmpty():
+        return joined(docs, dropped.select("doc_id"), ["doc_id"], "left_anti", 24)
+    named = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    kept = joined(named, dropped, ["doc_id", sha], "left_anti", 120)
+    rest = joined(kept, again, ["doc_id"], "left_anti", 24)
+    once = joined(kept, again, ["doc_id"], "left_semi", 24).dropDuplicates(["doc_id", sha])
+    return rest.unionByName(once).drop(sha)
