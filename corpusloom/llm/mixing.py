@@ -1,7 +1,7 @@
 """Soft-membership mixing: document rates under which expected domain totals of tokens meet target weights.
 
 1. Domains come from a labelled table (doc_id, domain), all of it: each domain that a text has. A naive Bayes classifier over byte trigrams is
-   learned from a sample bounded for each domain. Every document gets a posterior over domains, tempered by its length and rounded to fiftieths.
+   learned from a sample bounded for each domain. Every document gets a posterior over domains, tempered by its length.
 2. Rates r >= 0 are those nearest to 1 whose expected totals of the domains, sum of r * tokens * posterior, meet the targets: a multiplier for each
    domain makes the rate of a posterior p the projection of 1 + multipliers * p onto the bounds. The gradient in the multipliers, which is
    how far totals are off, is preconditioned by its curvature. A step is one distributed aggregate, tried at several dampings, the strongest
@@ -14,7 +14,6 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import python_ready, saved
+from .common import python_ready, sample_by_label, saved
 
-#: Labelled documents to learn from, shared out over the domains, but at least FIT_LEAST of each that has them: those with the smallest
-#: xxhash64(doc_id). Of longer ones the first FIT_CHARS characters are learned from.
+#: Labelled documents to learn from, shared out over the domains, but at least FIT_LEAST of each that has them; of longer ones as many characters, in pieces.
 FIT_ROWS, FIT_LEAST, FIT_CHARS = 2000, 20, 20_000
-SLOTS, KEPT, GRID = 1 << 14, 250_000, 50
+SLOTS, KEPT = 1 << 14, 250_000
 STEPS, PULL, CLOSE = 200, 1e-7, 5e-4
 #: Shares of the whole curvature that are added to the present one, in the tries of a step.
 DAMPINGS = (0.0, 0.01, 0.1, 1.0)
@@ -70,10 +68,7 @@ class _Members:
             idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
             y = y + self.sums[idx].sum(0, dtype=np.float64) / np.sqrt(sum(map(len, words)))
         p = np.exp(y - y.max())
-        p /= p.sum()
-        q = np.floor(p * GRID)
-        q[np.argsort(q - p * GRID, kind="stable")[: round(GRID - q.sum())]] += 1
-        return q / GRID
+        return p / p.sum()
 
 
 @dataclass
@@ -86,33 +81,22 @@ class Classifier:
 def learn(docs: DataFrame, labelled: DataFrame, most: int = FIT_ROWS) -> Classifier:
     """All domains of the labelled table (doc_id, domain) that have a text in docs, their shares of it, and trigrams of some documents of each.
     Rows with nulls don't count; no rows: no domains."""
-    known = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    there = saved(docs.filter("text <> ''").select("doc_id").distinct().join(known, "doc_id"), "labelled")
-    sizes = {r["domain"]: r["n"] for r in there.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    there = labelled.select("doc_id", "domain").join(docs.filter("text <> ''").select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes, rows = sample_by_label(docs, there, "domain", most, FIT_LEAST, FIT_CHARS)
     domains = sorted(sizes)
     if not domains:
         return Classifier([], np.zeros(0), np.zeros((SLOTS, 0)))
-    quota = max(most // len(domains), FIT_LEAST)
-    # ids below a hash that about twice the quota of their domain are below; a smaller domain's ids all are
-    limits = F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(min(1.0, (2 * quota + 20) / sizes[d])))])
-    near = there.withColumn("_hash", F.xxhash64("doc_id")).filter((F.col("_hash").cast("double") / 2.0**64 + 0.5) <= limits[F.col("domain")])
-    ids = []
-    for d, mine in groupby(sorted(near.collect(), key=lambda r: (r["domain"], r["_hash"], r["doc_id"])), lambda r: r["domain"]):
-        ids.extend((r["doc_id"], d) for r in islice(mine, quota))
-    chosen = docs.sparkSession.createDataFrame(ids, there.select("doc_id", "domain").schema)
-    texts = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).filter("text <> ''")
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.max("text").alias("text")).collect()
     counts = np.ones((SLOTS, len(domains)))
     place = {d: k for k, d in enumerate(domains)}
     for r in rows:
         if words := r["text"].encode().lower().split():
-            counts[:, place[r["domain"]]] += np.bincount(_slots(words)[0], minlength=SLOTS)
+            counts[:, place[r["label"]]] += np.bincount(_slots(words)[0], minlength=SLOTS)
     n = np.array([sizes[d] + 1.0 for d in domains])
     return Classifier(domains, np.log(n / n.sum()), np.log(counts / counts.sum(0)))
 
 
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with _tokens (words) and _p, the posterior in the order of model.domains, in fiftieths that add up to one."""
+    """docs with _tokens (words) and _p, the posterior in the order of model.domains."""
     spark = docs.sparkSession
     python_ready(spark)
     shared = spark.sparkContext.broadcast(model)  # slots times domains, whatever the corpus
@@ -149,7 +133,7 @@ class Mix:
 
 
 def _sums(groups: DataFrame, tries: np.ndarray, low: float, high: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """For each row of multipliers the dual value, the totals, and the curvature: sums over the rows of groups (_p, n)."""
+    """For each row of multipliers the dual value, the totals, and the curvature: sums over the documents (_p, n)."""
     k, d = tries.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +155,7 @@ def _sums(groups: DataFrame, tries: np.ndarray, low: float, high: float) -> list
 
 
 def solve(posteriors: DataFrame, domains: list[str], weights: dict[str, float] | None, power: float = 0.0, low: float = 0.0, high: float = float("inf"), whole: bool = False) -> Mix:
-    """Rates for target weights (or, if None, the domains' present shares to `power`), from a table with _tokens and _p.
+    """Rates for target weights (or, if None, the domains' present shares to `power`), from a written table with _tokens and _p, which each step reads.
 
     The total is that of the table, or with `whole` the least one at which no domain needs less than it has. A domain without tokens gets
     no target, as no rate can fill it. Rates have no upper bound unless `high` gives one. Relative errors of targets below a thousandth of
@@ -180,7 +164,7 @@ def solve(posteriors: DataFrame, domains: list[str], weights: dict[str, float] |
     d = len(domains)
     if not d:
         return Mix([], low, high, {}, {})
-    groups = saved(posteriors.filter("_tokens > 0").groupBy("_p").agg(F.sum("_tokens").alias("n")), "posteriors")
+    groups = posteriors.filter("_tokens > 0").select("_p", F.col("_tokens").alias("n"))
     _, now, most = _sums(groups, np.zeros((1, d)), -np.inf, np.inf)[0]
     n = now.sum()
     live = now > 0
@@ -234,9 +218,11 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, low: float = 1.0) -> DataFrame:
-    """The rows of docs, each as often as its copies say. With low = 1 every document stays, and small domains are repeated."""
+    """The rows of docs, each as often as its copies say. With low = 1 every document stays, and small domains are repeated. A text without
+    words, null or empty, has the domains' prior; without labels every row stays once. All columns stay."""
     model = learn(docs, labelled)
     lean = saved(with_posteriors(docs.select("doc_id", "text"), model).select("_tokens", "_p"), "memberships")
     mix = solve(lean, model.domains, weights, power, low=low, whole=low >= 1)
-    rows = with_posteriors(docs, model).withColumn("_n", copies(mix.rate(F.col("_p")), F.col("doc_id")))
-    return rows.withColumn("_n", F.explode(F.expr("if(_n > 0, sequence(1, _n), cast(array() as array<int>))"))).select(*docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    rows = with_posteriors(whole, model).withColumn("_n", copies(mix.rate(F.col("_p")), F.col("_row.doc_id")))
+    return rows.withColumn("_n", F.explode(F.expr("if(_n > 0, sequence(1, _n), cast(array() as array<int>))"))).select("_row.*")
