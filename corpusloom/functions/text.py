@@ -118,6 +118,7 @@ PRIVATE_PATTERNS = {
     "URL": "[Hh][Tt][Tt][Pp][Ss]?://[^ \\t\\n\\r]+",
     "EMAIL": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+",
     "PHONE": "\\+?[0-9][0-9() -]{7,}[0-9]",
+    "MESSENGER": "(?i)(qq|vx|wx|wechat|telegram|whatsapp)[ ]?[:=][ ]?[a-z0-9_-]{5,}",
     "HANDLE": "@[A-Za-z0-9_]{2,}",
 }
 

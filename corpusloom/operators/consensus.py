@@ -6,25 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import int_rate
+from ..functions.text import text_of
 
 RATERS = ["a", "b", "c"]
 
 
 def latest(reviews: DataFrame, order: str | None = None) -> DataFrame:
     """One review for each rater and item: the last by `order`, if given."""
-    if order is None:
+    if order is None or order not in reviews.columns:
         return reviews
     window = Window.partitionBy("reviewer_id", "blinded_item_id").orderBy(F.desc(order))
     return reviews.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
-def pivoted(reviews: DataFrame) -> DataFrame:
-    """A row per item with mech_a ... bound_c: one aggregation, no pivot job. Items without all three raters don't appear."""
+def pivoted(reviews: DataFrame, order: str = "review_order") -> DataFrame:
+    """A row per item with mech_a ... bound_c: one aggregation, no pivot job. Items without all three raters don't appear. Of a rater's reviews of
+    one item the last by the column `order` counts, if there is one; without it there may be only one review."""
+    last = F.col(order) if order in reviews.columns else F.lit(0)
     cols = []
     for r in RATERS:
         mine = F.col("reviewer_id") == r
+        whole = F.max_by(F.struct("mechanism_label", "surface_topic", "boundary_status"), F.when(mine, last))
         for short, name in (("mech", "mechanism_label"), ("topic", "surface_topic"), ("bound", "boundary_status")):
-            cols.append(F.max(F.when(mine, F.col(name))).alias(f"{short}_{r}"))
+            cols.append(whole[name].alias(f"{short}_{r}"))
     rows = reviews.filter(F.col("reviewer_id").isin(RATERS)).groupBy("blinded_item_id").agg(*cols)
     return rows.filter(" and ".join(f"mech_{r} is not null" for r in RATERS))
 
@@ -78,6 +82,21 @@ def _long(row: DataFrame, names: list[str], whole: str = "n") -> DataFrame:
     return rows.withColumn("rate", int_rate(F.col("numerator"), F.col("denominator"), 4, None))
 
 
+def source_of(items: DataFrame, private: DataFrame, public: DataFrame, key: str = "blinded_item_id") -> DataFrame:
+    """items with what is known of them: the private row if there is one, else the public row, else '' in every column; whole rows, not single columns."""
+    names = [c for c in dict.fromkeys([*private.columns, *public.columns]) if c != key]
+    side = lambda rows: F.struct(*[(text_of(F.col(c).cast("string")) if c in rows.columns else F.lit("")).alias(c) for c in names])
+    one, two = (rows.select(key, side(rows).alias(name)).dropDuplicates([key]) for rows, name in ((private, "_private"), (public, "_public")))
+    got = items.join(one, key, "left").join(two, key, "left").withColumn("_row", F.coalesce("_private", "_public"))
+    return got.select(*items.columns, *[F.coalesce(F.col(f"_row.{c}"), F.lit("")).alias(c) for c in names if c not in items.columns])
+
+
+def source_texts(private: DataFrame, public: DataFrame, source: str = "source_id", text: str = "text", key: str = "blinded_item_id") -> DataFrame:
+    """(source, text): from a source's id to its blinded id in the private table, and on to the text in the public one; '' where a hop fails."""
+    named = private.filter(text_of(F.col(source).cast("string")) != "").select(source, key)
+    return named.join(public.select(key, text), key, "left").groupBy(source).agg(F.max_by(text_of(text), F.col(key)).alias(text))
+
+
 def agreement_summary(rows: DataFrame) -> DataFrame:
     sums = rows.agg(
         F.count("*").alias("n"),
@@ -165,7 +184,8 @@ def transitions(rows: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def retest_consistency(reviews: DataFrame, key: DataFrame) -> DataFrame:
-    """One row (numerator, denominator, rate): raters' labels on main item and retest, where both are there."""
+    """One row (numerator, denominator, rate): raters' labels on main item and retest, where both are there; of repeated reviews the last."""
+    reviews = latest(reviews, "review_order")
     groups = key.filter("retest_group_id <> ''").select("blinded_item_id", "retest_group_id")
     pairs = reviews.join(groups, "blinded_item_id").groupBy("retest_group_id", "reviewer_id").agg(F.count("*").alias("k"), F.min("mechanism_label").alias("lo"), F.max("mechanism_label").alias("hi")).filter("k = 2")
     sums = pairs.agg(_count("lo = hi").alias("numerator"), F.count("*").alias("denominator"))

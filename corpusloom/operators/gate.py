@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.numbers import int_rate
 from ..functions.text import contains_any, text_of, u_strip
 
-MECHANISMS = ["safety", "trust", "fairness", "belonging", "competence", "uncertain"]
-BOUNDARIES = ["complete", "needs_parent_context", "mixed", "too_broad", "not_evidence"]
+#: What a review's fields may hold, as the review format lists them.
+BOUNDARIES = ["complete", "needs_parent_context", "over_segmented", "under_segmented", "not_evidence"]
 CONFIDENCES = ["high", "medium", "low"]
-ABSTENTIONS = ["none", "insufficient_context", "multiple_mechanisms", "ambiguous_language", "out_of_scope", "other"]
+ABSTENTIONS = ["none", "insufficient_context", "multiple_mechanisms", "unclear_topic", "unclear_boundary", "other"]
 
 
-def with_problems(reviews: DataFrame, required: list[str], topics: list[str], optional: list[str] = ("surface_topic", "evidence_phrase")) -> DataFrame:
-    """reviews with problems, an array of codes, empty for a valid record."""
+def with_problems(reviews: DataFrame, required: list[str], topics: list[str], mechanisms: list[str], optional: list[str] = ("surface_topic", "evidence_phrase")) -> DataFrame:
+    """reviews with problems, an array of codes, empty for a valid record. topics and mechanisms are the codebook's."""
     codes = [F.when(text_of(c) == "", F.lit(c)) for c in required if c not in optional]
-    for column, allowed in (("mechanism_label", MECHANISMS), ("boundary_status", BOUNDARIES), ("confidence_band", CONFIDENCES), ("abstain_reason", ABSTENTIONS)):
+    for column, allowed in (("mechanism_label", mechanisms), ("boundary_status", BOUNDARIES), ("confidence_band", CONFIDENCES), ("abstain_reason", ABSTENTIONS)):
         codes.append(F.when(~text_of(column).isin(allowed), F.lit(f"{column}:invalid")))
     codes.append(F.when((text_of("surface_topic") != "") & ~text_of("surface_topic").isin(topics), F.lit("surface_topic:invalid")))
     phrase = u_strip("evidence_phrase")
@@ -46,6 +46,15 @@ def header_leaks(rows: DataFrame, forbidden: list[str]) -> list[str]:
     return [w for w in forbidden if w.lower() in names]
 
 
+def leak_report(rows: DataFrame, text: str, forbidden: list[str], tokens: list[str], result_type: str | None = None, expected: str = "") -> DataFrame:
+    """(check, hits): words of `forbidden` in the header, rows whose text names one of `tokens`, and rows whose result type isn't the expected one."""
+    named = F.count_if(contains_any(F.lower(text_of(text)), [t.lower() for t in tokens]))
+    other = F.count_if(text_of(result_type) != expected) if result_type else F.lit(0).cast("long")
+    sums = rows.agg(named.alias("text"), other.alias("result_type")).withColumn("header", F.lit(len(header_leaks(rows, forbidden))).cast("long"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("hits")) for c in ("header", "text", "result_type")])
+    return sums.select(F.explode(pairs).alias("p")).select("p.check", "p.hits")
+
+
 def text_leaks(rows: DataFrame, text: str, tokens: list[str]) -> DataFrame:
     """Rows of what raters see whose text names a platform."""
     return rows.filter(contains_any(F.lower(text_of(text)), [t.lower() for t in tokens]))

@@ -41,13 +41,14 @@ def insights(units: DataFrame, platform: str, order: list[str], min_support: int
 def insight_links(units: DataFrame, found: DataFrame) -> DataFrame:
     """(insight_id, evidence_id) of all units that an insight rests on."""
     keys = found.select("insight_id", "surface_topic", "mechanism_label")
-    return groupable(units).join(F.broadcast(keys), ["surface_topic", "mechanism_label"]).select("insight_id", "evidence_id")
+    return groupable(units).join(keys, ["surface_topic", "mechanism_label"]).select("insight_id", "evidence_id")
 
 
 def actions(found: DataFrame) -> DataFrame:
     """A hypothesis to test for each insight with high support."""
     high = found.filter("support_level = 'high_support'")
-    number = F.row_number().over(Window.orderBy("insight_id"))
+    place = F.regexp_extract("insight_id", "([0-9]+)$", 1).cast("long")  # by number: INSIGHT_1000 comes after INSIGHT_999
+    number = F.row_number().over(Window.orderBy(place))
     return high.select(
         F.format_string("ACTION_%03d", number).alias("action_id"),
         "insight_id",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import int_rate
 from ..functions.text import has_url, is_blank, normalized, text_of, u_squash
 
-#: Rows of a rule or item table that may be broadcast.
+#: Short items that are tested against each text, at most.
 BROADCAST_ROWS = 100_000
 
 
@@ -35,12 +35,15 @@ def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
-def linked(children: DataFrame, parents: DataFrame, key: str, child_text: str, parent_text: str, child_group: str | None = None, parent_group: str | None = None, case_sensitive: bool = True, empty_ok: bool = True) -> DataFrame:
+def linked(children: DataFrame, parents: DataFrame, key: str, child_text: str, parent_text: str, child_group: str | None = None, parent_group: str | None = None, case_sensitive: bool = True, empty_ok: bool = True, fallback: str | None = None, order: list[str] | None = None) -> DataFrame:
     """children with _orphan, _mismatch, _located: a left join, then three checks of which the first that fails counts.
 
-    Parents are normalised once, before the join; the join stays an equi-join and containment is a projection on its rows.
+    Parents are normalised once, before the join; the join stays an equi-join and containment is a projection on its rows. A parent whose text
+    is blank is read from the column `fallback`. Of parents that repeat a key the last by `order` counts, any one without it.
     """
-    p = parents.select(F.col(key), normalized(parent_text, case_sensitive).alias("_whole"), (text_of(parent_group) if parent_group else F.lit("")).alias("_group"), F.lit(True).alias("_there"))
+    parents = last_wins(parents, key, order) if order else parents.dropDuplicates([key])
+    whole = F.when(text_of(parent_text) != "", F.col(parent_text)).otherwise(F.col(fallback)) if fallback else F.col(parent_text)
+    p = parents.select(F.col(key), normalized(whole, case_sensitive).alias("_whole"), (text_of(parent_group) if parent_group else F.lit("")).alias("_group"), F.lit(True).alias("_there"))
     rows = children.join(p, key, "left")
     part = normalized(child_text, case_sensitive)
     inside = F.contains(F.col("_whole"), part) & (F.lit(empty_ok) | (part != ""))
@@ -56,16 +59,33 @@ def match_report(links: DataFrame) -> DataFrame:
     return sums.withColumn("match_rate", int_rate(F.col("located"), F.col("n"), default=1.0))
 
 
-def containments(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item: str, case_sensitive: bool = False) -> DataFrame:
-    """(item_id, text_id) where the normalised item is inside the normalised text: a nested loop with the items broadcast.
+def containments(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item: str, case_sensitive: bool = False, gram: int = 12) -> DataFrame:
+    """(item_id, text_id) where the normalised item is inside the normalised text.
 
-    Items must be few, as each is tested against each text; their number is checked.
+    Items of `gram` characters or more are found by an equi-join: each has the one of its grams that fewest items have as key, and a text
+    meets those items whose key is among its grams; containment is then tested on these pairs only. Shorter items are tested against each text, as many
+    as there are: they are distinct strings of fewer than `gram` characters.
     """
-    if items.count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} items to look for")
     small = items.select(item_id, normalized(item, case_sensitive).alias("_item")).filter("_item <> ''")
     rows = texts.select(text_id, normalized(text, case_sensitive).alias("_text"))
-    return rows.join(F.broadcast(small), F.contains(F.col("_text"), F.col("_item"))).select(item_id, text_id)
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.substring(F.col(c), i, F.lit(gram)))
+    long = small.filter(F.length("_item") >= gram)
+    each = long.select(item_id, "_item", F.explode(F.array_distinct(grams("_item"))).alias("_gram"))
+    often = each.groupBy("_gram").agg(F.count("*").alias("_n"))
+    keys = each.join(often, "_gram").groupBy(item_id, "_item").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    wanted = keys.select("_gram").distinct()
+    met = rows.filter(F.length("_text") >= gram).select(text_id, F.explode(F.array_distinct(grams("_text"))).alias("_gram")).join(wanted, "_gram", "left_semi")
+    pairs = met.join(keys, "_gram").select(text_id, item_id, "_item")
+    found = pairs.join(rows, text_id).filter(F.contains("_text", F.col("_item"))).select(item_id, text_id)
+    short = small.filter(F.length("_item") < gram)
+    if short.isEmpty():
+        return found
+    names = short.groupBy("_item").agg(F.collect_set(item_id).alias("_ids"))
+    listed = [r["_item"] for r in names.select("_item").limit(BROADCAST_ROWS + 1).collect()]
+    if len(listed) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} different items of fewer than {gram} characters")
+    hit = rows.select(text_id, F.explode(F.filter(F.array(*map(F.lit, listed)), lambda x: F.contains(F.col("_text"), x))).alias("_item"))
+    return found.unionByName(hit.join(names, "_item").select(F.explode("_ids").alias(item_id), text_id))
 
 
 def duplicate_groups(rows: DataFrame, id_col: str, text_col: str, examples: int = 5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +43,20 @@ def with_labels(units: DataFrame, topics: Rules, mechanisms: Rules, source: str
     return units.withColumn("surface_topic", first_match(low, topics, "other_uncertain")).withColumn("mechanism_label", first_match(low, mechanisms, "uncertain")).withColumn("label_source", F.lit(source))
 
 
-#: Providers of labels by name: DataFrame to DataFrame. Services that label over a network register here; none ships.
-PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+#: Providers of labels by name, made from topic and mechanism rules: units to labelled units. Services that label over a network register here.
+PROVIDERS: dict[str, Callable[[Rules, Rules], Callable[[DataFrame], DataFrame]]] = {"rules": lambda topics, mechanisms: partial(with_labels, topics=topics, mechanisms=mechanisms)}
 
 
-def provider(name: str) -> Callable[[DataFrame], DataFrame]:
+def provider(name: str, topics: Rules, mechanisms: Rules) -> Callable[[DataFrame], DataFrame]:
     if name not in PROVIDERS:
         raise ValueError(f"no label provider {name!r}; there are {sorted(PROVIDERS)}")
-    return PROVIDERS[name]
+    return PROVIDERS[name](topics, mechanisms)
+
+
+def named(key: str | Column, names: dict[str, str]) -> Column:
+    """The name of a key, or the key itself where there is none."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key), key) if names else key
 
 
 RATERS = ["a", "b", "c"]

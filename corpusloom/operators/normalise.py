@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PRIVATE_PATTERNS, cleaned, is_blank, masked, text_of
@@ -38,13 +38,19 @@ def counts_of(json_text: str) -> dict[str, int]:
     return {k: v for k, v in found.items() if type(v) is int and v >= 0} if isinstance(found, dict) else {}
 
 
+def count_entries(json_text: str | Column) -> Column:
+    """The same on a column: a map of the entries whose values are whole numbers from 0."""
+    raw = F.coalesce(F.from_json(json_text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.transform_values(F.map_filter(raw, lambda k, v: F.rlike(v, F.lit("^[0-9]{1,18}$"))), lambda k, v: v.cast("long"))
+
+
 def pre_cleaned(rows: DataFrame, text: str, min_length: int = 1) -> DataFrame:
     """rows with the text cleaned of reply headers, quotes and placeholders; texts shorter than min_length go."""
     return rows.withColumn(text, cleaned(text)).filter(F.length(text) >= min_length)
 
 
 def privacy_masked(rows: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n_url, n_email, n_phone, n_handle, masked_text): hits are counted in the text that the masks before have left."""
+    """(id, n_url, n_email, n_phone, n_messenger, n_handle, masked_text): hits are counted in the text that the masks before have left."""
     out, left = rows.select(id_col, text_of(text).alias("_t")), F.col("_t")
     cols = []
     for kind, pattern in PRIVATE_PATTERNS.items():
@@ -57,3 +63,10 @@ def inclusion_state(rows: DataFrame, relevant: str, readable: str) -> DataFrame:
     """Candidates with inclusion yes, no or uncertain, from two columns of yes or no; anything else leaves it uncertain."""
     r, t = text_of(relevant), text_of(readable)
     return rows.withColumn("inclusion", F.when((r == "no") | (t == "no"), "no").when((r == "yes") & (t == "yes"), "yes").otherwise("uncertain"))
+
+
+def normalised_dataset(samples: DataFrame, evidence: DataFrame, sample_columns: list[str], evidence_columns: list[str], topic: str = "surface_topic", sentinel: str = "other_uncertain") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(samples, evidence, counters): both tables cut to their columns, blank topics filled, and how many rows and fills there were."""
+    one, two = whitelist(samples, sample_columns), filled(whitelist(evidence, evidence_columns), topic, sentinel)
+    n, fills = two.agg(F.count("*"), F.count_if("_filled")).first()
+    return one, two.drop("_filled"), {"samples": one.count(), "evidence": n, "topics_filled": fills}

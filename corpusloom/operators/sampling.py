@@ -10,26 +10,22 @@ from pyspark.sql import functions as F
 from ..functions.text import joined_key, seeded, text_of
 
 
-def quota_picks(rows: DataFrame, id_col: str, dims: list[str], per_value: int, seed: str) -> DataFrame:
-    """(id, ord): the first rows, in seeded order, of each value of each dimension. ord sorts picks by dimension, value and place.
+def stratified_sample(rows: DataFrame, id_col: str, dims: list[str], size: int, per_value: int = 2, seed: str = "20260720") -> DataFrame:
+    """(id, dims, pick): `size` ids, at least `per_value` of each value of each dimension if there are as many and the quotas fit; then filled in seeded order.
 
-    Row numbers up to a limit let Spark cut each value's rows before the shuffle.
+    One pass: each row stands once for each of its values and once for the filling, all with the row's dimensions. Row numbers up to a limit
+    let Spark cut each value's rows in the tasks, before the shuffle.
     """
-    parts = []
-    for i, d in enumerate(dims):
-        one = rows.select(F.col(id_col).alias("id"), text_of(d).alias("v")).withColumn("h", seeded(f"{seed}|{d}", "id"))
-        one = one.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("h", "id"))).filter(F.col("n") <= per_value)
-        parts.append(one.select("id", F.struct(F.lit(0).alias("phase"), F.lit(i).alias("dim"), "v", F.lpad("n", 6, "0").alias("n")).alias("ord")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def stratified_sample(rows: DataFrame, id_col: str, dims: list[str], size: int, per_value: int = 2, seed: str = "20260720") -> DataFrame:
-    """(id, pick): `size` ids, at least `per_value` of each value of each dimension if there are as many and the quotas fit; then filled in seeded order."""
-    fill = rows.select(F.col(id_col).alias("id")).withColumn("h", seeded(f"{seed}|fill", "id")).orderBy("h", "id").limit(size)
-    fill = fill.select("id", F.struct(F.lit(1).alias("phase"), F.lit(0).alias("dim"), F.col("h").alias("v"), F.lit("").alias("n")).alias("ord"))
-    union = quota_picks(rows, id_col, dims, per_value, seed).unionByName(fill)
-    first = union.groupBy("id").agg(F.min("ord").alias("ord")).orderBy("ord", "id").limit(size)
-    return first.select(F.col("id").alias(id_col), F.row_number().over(Window.orderBy("ord", "id")).alias("pick"))
+    named = rows.select(F.col(id_col).alias("id"), *[text_of(d).alias(d) for d in dims])
+    draws = [F.struct(F.lit(0).alias("phase"), F.lit(i).alias("dim"), F.col(d).alias("v"), seeded(f"{seed}|{d}", "id").alias("h")) for i, d in enumerate(dims)]
+    draws.append(F.struct(F.lit(1).alias("phase"), F.lit(0).alias("dim"), F.lit("").alias("v"), seeded(f"{seed}|fill", "id").alias("h")))
+    each = named.withColumn("_d", F.explode(F.array(*draws))).select("id", *dims, "_d.*")
+    place = F.row_number().over(Window.partitionBy("phase", "dim", "v").orderBy("h", "id"))
+    near = each.withColumn("n", place).filter(F.col("n") <= max(size, per_value)).filter((F.col("phase") == 1) | (F.col("n") <= per_value))
+    # picks come by dimension, value and place; fillings after them, by their digest
+    order = F.struct("phase", "dim", F.when(F.col("phase") == 0, F.col("v")).otherwise(F.col("h")).alias("v"), F.lpad("n", 9, "0").alias("n"))
+    first = near.groupBy("id", *dims).agg(F.min(order).alias("ord")).orderBy("ord", "id").limit(size)
+    return first.select(F.col("id").alias(id_col), *dims, F.row_number().over(Window.orderBy("ord", "id")).alias("pick"))
 
 
 def blinded(sample: DataFrame, id_col: str, retests: int, seed: str = "20260720") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import length_bucket, segments
+from ..functions.text import length_bucket, segments, text_of
 
 
 def evidence_units(parents: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None, min_length: int = 6) -> DataFrame:
@@ -33,3 +33,10 @@ def child_counts(parents: DataFrame, children: DataFrame, key: str, child_key: s
     """(key, n_children) of every parent, 0 for those without: children are counted before the join."""
     counts = children.groupBy(F.col(child_key).alias(key)).agg(F.count("*").alias("n_children"))
     return parents.select(key).join(counts, key, "left").select(key, F.coalesce("n_children", F.lit(0)).alias("n_children"))
+
+
+def with_parent_context(units: DataFrame, parents: DataFrame, key: str, text: str) -> DataFrame:
+    """units with parent_context, '' without a parent, and context_available (yes or no)."""
+    whole = parents.select(F.col(key), text_of(text).alias("parent_context")).groupBy(key).agg(F.max("parent_context").alias("parent_context"))
+    out = units.join(whole, key, "left").withColumn("parent_context", text_of("parent_context"))
+    return out.withColumn("context_available", F.when(F.col("parent_context") != "", "yes").otherwise("no"))

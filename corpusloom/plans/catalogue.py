@@ -8,6 +8,7 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import int_rate
 from ..functions.text import digest_mod3, text_of, u_strip
 from ..operators import consensus as C
 from ..operators import distribution as D
@@ -26,11 +27,24 @@ from ..sources import readers
 TOPICS: L.Rules = [("noise", ["###", "%%%"]), ("relation", ["with", "for "]), ("craft", ["sch"]), ("action", ["ción"]), ("water", ["eau"]), ("reference", ["this"])]
 MECHANISMS: L.Rules = [("safety", ["worthless", "idiot", "scum"]), ("trust", ["sch"]), ("fairness", ["ción"]), ("belonging", ["with", "for "]), ("competence", ["eau", "tion"])]
 TOPIC_NAMES = [t for t, _ in TOPICS] + ["other_uncertain"]
+CODEBOOK = [m for m, _ in MECHANISMS] + ["uncertain"]
+FLAGGED = "included_flagged_uncertain"
 DIMS = ["source", "lang", "surface_topic", "mechanism_label", "length_bucket"]
 SAMPLE, RETESTS, QUOTA, SEED = 300, 30, 5, "20260720"
 LINT = X.LintRules(banned=["worthless", "idiot"], discouraged=["trash", "clown"], internal=["token ="], status=["license", "License"], terms=["tion", "ing", "th"], not_but=("with", "for"))
 THRESHOLDS = [
+    ("sample_id_unique_rate", 1.0, None, "block"),
     ("evidence_id_unique_rate", 1.0, None, "block"),
+    ("parent_reference_rate", 1.0, None, "block"),
+    ("platform_match_rate", 1.0, None, "block"),
+    ("public_url_hit_count", None, 0.0, "block"),
+    ("sample_duplicate_group_count", None, 0.0, "warn"),
+    ("explicit_topic_rate", 0.4, None, "warn"),
+    ("assigned_mechanism_rate", 0.4, None, "warn"),
+    ("samples_without_evidence_rate", None, 0.05, "warn"),
+    ("insight_support_resolution_rate", 1.0, None, "block"),
+    ("action_to_insight_linkage_rate", 1.0, None, "block"),
+    ("action_to_evidence_linkage_rate", 1.0, None, "block"),
     ("evidence_text_match_rate", 1.0, None, "block"),
     ("invalid_label_rate", None, 0.0, "block"),
     ("uncertain_share", None, 0.5, "warn"),
@@ -39,6 +53,9 @@ THRESHOLDS = [
 ]
 
 
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -108,14 +125,24 @@ def platform_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    sums = labelled(spark, sf_dir).agg(F.count("*").alias("n"), one(F.col("mechanism_label") == "uncertain").alias("uncertain"), one(D.assigned("mechanism_label")).alias("assigned"), one(D.specific("surface_topic")).alias("specific"), one(D.assigned("mechanism_label") & D.specific("surface_topic")).alias("both"))
-    from ..functions.numbers import int_rate
-
-    return sums.select("*", int_rate(F.col("uncertain"), F.col("n")).alias("uncertain_rate"))
+    """Counts and shares of labels. Short units without a mechanism count as included with a flag."""
+    one = lambda c: F.count_if(c)
+    rows = labelled(spark, sf_dir)
+    status = F.when((F.col("mechanism_label") == "uncertain") & (F.col("length_bucket") == "short"), F.lit(FLAGGED)).otherwise(F.lit("included"))
+    sums = rows.withColumn("_status", status).agg(
+        F.count("*").alias("n"),
+        one(F.col("mechanism_label") == "uncertain").alias("uncertain"),
+        one(F.col("surface_topic") == "other_uncertain").alias("other_uncertain"),
+        one(F.col("_status") == FLAGGED).alias("flagged"),
+        one(D.assigned("mechanism_label")).alias("assigned"),
+        one(D.specific("surface_topic")).alias("specific"),
+        one(D.assigned("mechanism_label") & D.specific("surface_topic")).alias("both"),
+    )
+    return sums.select("*", int_rate(F.col("uncertain"), F.col("n")).alias("uncertain_rate"), int_rate(F.col("flagged"), F.col("n")).alias("flagged_rate"))
 
 
 def orphan_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines against the orders that aren't finished: the lines of finished orders are the orphans."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     kept = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select("o_orderkey")
     return I.orphan_report(lines, kept, "l_orderkey", "o_orderkey", ["l_orderkey", "l_linenumber"])
@@ -125,15 +152,10 @@ def childless_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.childless(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").select("l_orderkey"), "o_orderkey", "l_orderkey")
 
 
-def unit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of every document against all documents but those whose id ends in 7, which makes orphans; units of src3 claim src4, which makes mismatches."""
-    claimed = units(spark, sf_dir).withColumn("claimed", F.when(F.col("source") == "src3", "src4").otherwise(F.col("source"))).drop("source")
-    parents = docs(spark, sf_dir).withColumn("there", F.col("doc_id") % 10 != 7).filter("there")
-    return I.linked(claimed, parents, "doc_id", "unit_text", "text", "claimed", "source")
-
-
 def locatable_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.match_report(unit_links(spark, sf_dir))
+    """Units of every document against all documents: parent, platform, and whether the text is there."""
+    parents = docs(spark, sf_dir)
+    return I.match_report(I.linked(units(spark, sf_dir), parents, "doc_id", "unit_text", "text", "source", "source"))
 
 
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +175,8 @@ def dedup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blank_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {"documents": ["doc_id", "text", "lang", "source"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "labels": ["doc_id", "quality", "toxic"]}
-    return reduce(DataFrame.unionByName, [I.blank_profile(table(spark, sf_dir, n).select(*c), n) for n, c in names.items()])
+    """Every column of every table but the vectors."""
+    return reduce(DataFrame.unionByName, [I.blank_profile(table(spark, sf_dir, n), n) for n in TABLES if n != "embeddings"])
 
 
 def key_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,13 +201,39 @@ def evaluation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the demonstration's rule: case doesn't count, and an empty unit isn't located
     located = I.match_report(I.linked(rows.select("doc_id", "unit_text"), docs(spark, sf_dir), "doc_id", "unit_text", "text", case_sensitive=False, empty_ok=False))
     found = insights(spark, sf_dir)
-    return N.evaluation(rows, located, G.MECHANISMS, found, N.actions(found))
+    return N.evaluation(rows, located, CODEBOOK, found, N.actions(found))
 
 
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = evaluation_status(spark, sf_dir).crossJoin(label_shares(spark, sf_dir).select(F.col("uncertain_rate").alias("uncertain_share")))
-    names = ["evidence_id_unique_rate", "evidence_text_match_rate", "invalid_label_rate", "uncertain_share"]
-    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select("m.*")
+    """(metric, value) of all groups of metrics that the tables carry: structure, cleaning, coding, analysis support."""
+    rows, parents = labelled(spark, sf_dir), docs(spark, sf_dir)
+    links = I.match_report(I.linked(rows.select("doc_id", "unit_text", "source"), parents, "doc_id", "unit_text", "text", "source", "source")).select("n", "orphans", "mismatches")
+    shares = label_shares(spark, sf_dir)
+    row = evaluation_status(spark, sf_dir).crossJoin(links.drop("n")).crossJoin(shares.drop("n"))
+    row = row.crossJoin(I.key_uniqueness(parents, "doc_id").select(F.col("unique_rate").alias("sample_id_unique_rate")))
+    row = row.crossJoin(I.url_hits(parents, "text").select("hits")).crossJoin(I.duplicate_summary(I.duplicate_groups(parents, "doc_id", "text")).select("groups"))
+    empty = U.unit_counts(parents, "doc_id", "text").agg(F.count_if(F.col("n_units") == 0).alias("bare"), F.count("*").alias("samples"))
+    row = row.crossJoin(empty)
+    n, r = F.col("n"), lambda a, b: int_rate(a, b, 6, 1.0)
+    values = {
+        "sample_id_unique_rate": F.col("sample_id_unique_rate"),
+        "evidence_id_unique_rate": F.col("evidence_id_unique_rate"),
+        "parent_reference_rate": r(n - F.col("orphans"), n),
+        "platform_match_rate": r(n - F.col("orphans") - F.col("mismatches"), n),
+        "evidence_text_match_rate": F.col("evidence_text_match_rate"),
+        "public_url_hit_count": F.col("hits").cast("double"),
+        "sample_duplicate_group_count": F.col("groups").cast("double"),
+        "invalid_label_rate": F.col("invalid_label_rate"),
+        "explicit_topic_rate": r(F.col("specific"), n),
+        "assigned_mechanism_rate": r(F.col("assigned"), n),
+        "uncertain_share": F.col("uncertain_rate"),
+        "flagged_share": F.col("flagged_rate"),
+        "samples_without_evidence_rate": r(F.col("bare"), F.col("samples")),
+        "insight_support_resolution_rate": F.col("insight_support_resolution_rate"),
+        "action_to_insight_linkage_rate": F.col("action_to_insight_linkage_rate"),
+        "action_to_evidence_linkage_rate": F.col("action_to_evidence_linkage_rate"),
+    }
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()])).alias("m")).select("m.*")
 
 
 def metric_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,41 +241,43 @@ def metric_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.threshold_gate(metric_rows(spark, sf_dir), limits)
 
 
-def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drawn units with their labels: the sample is joined back to the labelled units."""
-    rows = labelled(spark, sf_dir)
-    drawn = S.stratified_sample(rows, "evidence_id", DIMS, SAMPLE, 2, SEED)
-    return S.stratum_codes(rows.join(F.broadcast(drawn), "evidence_id"), DIMS)
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn units with their labels and place: SAMPLE rows, read once."""
+    rows = S.stratified_sample(labelled(spark, sf_dir), "evidence_id", DIMS, SAMPLE, 2, SEED)
+    return spark.createDataFrame(rows.collect(), rows.schema)
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled(spark, sf_dir).select("evidence_id", "pick", "stratum_code", *DIMS)
+    return S.stratum_codes(drawn(spark, sf_dir), DIMS).select("evidence_id", "pick", "stratum_code", *DIMS)
 
 
 def sample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.coverage(sampled(spark, sf_dir), DIMS)
-
-
-def blind_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = S.stratified_sample(labelled(spark, sf_dir), "evidence_id", DIMS, SAMPLE, 2, SEED)
-    return S.blinded(drawn, "evidence_id", RETESTS, SEED)
+    return S.coverage(drawn(spark, sf_dir), DIMS)
 
 
 def blind_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blind_key(spark, sf_dir)
+    """The sample and its retests under blinded ids: SAMPLE and RETESTS rows, read once."""
+    rows = S.blinded(drawn(spark, sf_dir), "evidence_id", RETESTS, SEED)
+    return spark.createDataFrame(rows.collect(), rows.schema)
 
 
 def balanced_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.balanced_quota(docs(spark, sf_dir), "doc_id", "source", QUOTA, SEED)
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = units(spark, sf_dir).select("evidence_id", F.col("unit_text").alias("text"))
-    return texts.join(F.broadcast(blind_key(spark, sf_dir)), "evidence_id")
+def parents_of(spark: SparkSession, sf_dir: str, key: DataFrame) -> DataFrame:
+    """The documents that the sample's units come from; the sample is small, so only these are segmented."""
+    ids = key.select(F.regexp_extract("evidence_id", "^(.*)_U[0-9]+$", 1).alias("_id")).distinct()
+    return docs(spark, sf_dir).join(F.broadcast(ids), F.col("doc_id").cast("string") == F.col("_id"), "left_semi")
+
 
+def items_of(spark: SparkSession, sf_dir: str, key: DataFrame) -> DataFrame:
+    texts = U.evidence_units(parents_of(spark, sf_dir, key), "doc_id", "text", ["source", "lang"])
+    return texts.select("evidence_id", "doc_id", F.col("unit_text").alias("text"), "source").join(F.broadcast(key), "evidence_id")
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.rater_reviews(items(spark, sf_dir), TOPICS, MECHANISMS)
+
+def reviews_of(spark: SparkSession, sf_dir: str, key: DataFrame) -> DataFrame:
+    return L.rater_reviews(items_of(spark, sf_dir, key), TOPICS, MECHANISMS)
 
 
 def mock_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,12 +285,9 @@ def mock_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.rater_reviews(units(spark, sf_dir), TOPICS, MECHANISMS, item="evidence_id", text="unit_text").drop("evidence_text", "run_id")
 
 
-def key_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blind_key(spark, sf_dir).withColumnRenamed("evidence_id", "source_id")
-
-
-def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.consensus_rows(reviews(spark, sf_dir), key_of(spark, sf_dir))
+def rows_of(spark: SparkSession, sf_dir: str, key: DataFrame | None = None) -> DataFrame:
+    key = blind_sample(spark, sf_dir) if key is None else key
+    return C.consensus_rows(reviews_of(spark, sf_dir, key), key.withColumnRenamed("evidence_id", "source_id"))
 
 
 def consensus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,25 +298,29 @@ def over_consensus(f: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_
     return f(rows_of(spark, sf_dir))
 
 
-def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The label that a sampled unit has by the rules, with every unit of src5 unlabelled."""
-    return labelled(spark, sf_dir).filter("source <> 'src5'").select(F.col("evidence_id").alias("source_id"), F.col("mechanism_label").alias("current_label"))
+def current(spark: SparkSession, sf_dir: str, key: DataFrame) -> DataFrame:
+    """The label that a sampled unit has by the rules; units of src5 have none, so that some items lack one."""
+    rows = L.with_labels(U.evidence_units(parents_of(spark, sf_dir, key), "doc_id", "text", ["source"]), TOPICS, MECHANISMS)
+    return rows.filter("source <> 'src5'").select(F.col("evidence_id").alias("source_id"), F.col("mechanism_label").alias("current_label"))
 
 
 def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.confusion(rows_of(spark, sf_dir), current(spark, sf_dir))
+    key = blind_sample(spark, sf_dir)
+    return C.confusion(rows_of(spark, sf_dir, key), current(spark, sf_dir, key))
 
 
 def label_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.transitions(rows_of(spark, sf_dir), current(spark, sf_dir))
+    key = blind_sample(spark, sf_dir)
+    return C.transitions(rows_of(spark, sf_dir, key), current(spark, sf_dir, key))
 
 
 def retest_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.retest_consistency(reviews(spark, sf_dir), key_of(spark, sf_dir))
+    key = blind_sample(spark, sf_dir)
+    return C.retest_consistency(reviews_of(spark, sf_dir, key), key.withColumnRenamed("evidence_id", "source_id"))
 
 
 def krippendorff_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.krippendorff_alpha(reviews(spark, sf_dir))
+    return C.krippendorff_alpha(reviews_of(spark, sf_dir, blind_sample(spark, sf_dir)))
 
 
 def spoiled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,17 +343,17 @@ REQUIRED = ["run_id", "reviewer_id", "blinded_item_id", "evidence_text", "mechan
 
 
 def validation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.with_problems(spoiled(spark, sf_dir), REQUIRED, TOPIC_NAMES)
+    found = G.with_problems(spoiled(spark, sf_dir), REQUIRED, TOPIC_NAMES, CODEBOOK)
     return found.select("reviewer_id", F.array_join("problems", ",").alias("problems")).groupBy("reviewer_id", "problems").agg(F.count("*").alias("n"))
 
 
 def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.run_report(G.with_problems(spoiled(spark, sf_dir), REQUIRED, TOPIC_NAMES))
+    return R.run_report(G.with_problems(spoiled(spark, sf_dir), REQUIRED, TOPIC_NAMES, CODEBOOK))
 
 
 def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the blind sample that a run which has done the first hundred still has to do."""
-    key = blind_key(spark, sf_dir).select("blinded_item_id")
+    key = blind_sample(spark, sf_dir).select("blinded_item_id")
     return R.remaining(key, key.filter("blinded_item_id <= 'CAL_0100'"))
 
 
@@ -330,7 +381,7 @@ def html_visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.privacy_masked(docs(spark, sf_dir), "doc_id", "text")
-    return rows.select("doc_id", "n_url", "n_email", "n_phone", "n_handle", F.sha2("masked_text", 256).alias("masked_sha256"))
+    return rows.select("doc_id", "n_url", "n_email", "n_phone", "n_messenger", "n_handle", F.sha2("masked_text", 256).alias("masked_sha256"))
 
 
 def normalised_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,12 +407,12 @@ def field_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def single_platform_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = N.groupable(labelled(spark, sf_dir))
-    return rows.groupBy("surface_topic", "mechanism_label").agg(F.count_distinct("source").alias("platforms"), F.count_distinct("lang").alias("langs")).withColumn("single", F.col("langs") == 1)
+    return rows.groupBy("surface_topic", "mechanism_label").agg(F.count_distinct("source").alias("platforms"), F.count_distinct("lang").alias("langs")).withColumn("single", F.col("platforms") == 1)
 
 
 def audit_short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents shorter than eight characters after cleaning, by source."""
-    return docs(spark, sf_dir).filter(F.length(u_strip("text")) < 60).groupBy("source").agg(F.count("*").alias("n"))
+    """Documents, and those shorter than eight characters after cleaning, by source."""
+    return M.pre_cleaned(docs(spark, sf_dir), "text", 0).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.length("text") < 8).alias("short"))
 
 
 def digest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,8 +427,7 @@ def candidate_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.sinks import content_digest
 
-    names = ["region", "nation", "supplier", "benchmark"]
-    return reduce(DataFrame.unionByName, [content_digest(table(spark, sf_dir, n)).withColumn("file", F.lit(n)) for n in names])
+    return reduce(DataFrame.unionByName, [content_digest(table(spark, sf_dir, n)).withColumn("file", F.lit(n)) for n in TABLES])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -391,12 +441,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in plain}
     out |= {f"rated_distribution_{c}": partial(distribution_of, t, c) for t, c in (("documents", "source"), ("events", "event_type"), ("conversations", "role"))}
+    from .more import more_queries
+
+    out |= more_queries()
     mine = {
         "agreement_summary": C.agreement_summary,
         "pairwise_agreement": C.pairwise_agreement,
-        "fleiss_kappa": lambda r: C.fleiss_kappa(r, G.MECHANISMS),
-        "per_label_unanimity": lambda r: C.per_label_unanimity(r, G.MECHANISMS),
+        "fleiss_kappa": lambda r: C.fleiss_kappa(r, CODEBOOK),
+        "per_label_unanimity": lambda r: C.per_label_unanimity(r, CODEBOOK),
         "dispute_pairs": C.dispute_pairs,
+        "dispute_pairs_top8": lambda r: C.dispute_pairs(r, 8),
         "boundary_proposals": lambda r: C.boundary_proposals(r, [("trust", "belonging"), ("belonging", "competence"), ("concrete_label", "uncertain")]),
     }
     return out | {k: partial(over_consensus, f) for k, f in mine.items()}

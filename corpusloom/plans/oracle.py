@@ -2,10 +2,55 @@
 
 from __future__ import annotations
 
-from ..functions.text import PRIVATE_PATTERNS, WHITESPACE
-from ..operators.gate import ABSTENTIONS, BOUNDARIES, CONFIDENCES, MECHANISMS as LABELS
-from ..operators.lint import ISSUES
-from .catalogue import DIMS, LINT, MECHANISMS, QUOTA, REQUIRED, RETESTS, SAMPLE, SEED, THRESHOLDS, TOPIC_NAMES, TOPICS
+# What the SQL reads is written out here, apart from the Spark code.
+WHITESPACE = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+TOPICS = [("noise", ["###", "%%%"]), ("relation", ["with", "for "]), ("craft", ["sch"]), ("action", ["ción"]), ("water", ["eau"]), ("reference", ["this"])]
+TOPIC_NAMES = ["noise", "relation", "craft", "action", "water", "reference", "other_uncertain"]
+MECHANISMS = [("safety", ["worthless", "idiot", "scum"]), ("trust", ["sch"]), ("fairness", ["ción"]), ("belonging", ["with", "for "]), ("competence", ["eau", "tion"])]
+LABELS = ["safety", "trust", "fairness", "belonging", "competence", "uncertain"]
+BOUNDARIES = ["complete", "needs_parent_context", "over_segmented", "under_segmented", "not_evidence"]
+CONFIDENCES = ["high", "medium", "low"]
+ABSTENTIONS = ["none", "insufficient_context", "multiple_mechanisms", "unclear_topic", "unclear_boundary", "other"]
+DIMS = ["source", "lang", "surface_topic", "mechanism_label", "length_bucket"]
+SAMPLE, RETESTS, QUOTA, SEED = 300, 30, 5, "20260720"
+ISSUES = {
+    "template_phrase": ("P0", "rewrite"), "negative_framing": ("P1", "rewrite"), "not_this_but_that": ("P0", "rewrite"), "internal_process_language": ("P1", "move_to_issue"),
+    "repeated_status": ("P1", "move_to_method_doc"), "long_sentence": ("P2", "rewrite"), "technical_term_overload": ("P2", "rewrite"),
+}
+REQUIRED = ["run_id", "reviewer_id", "blinded_item_id", "evidence_text", "mechanism_label", "surface_topic", "boundary_status", "abstain_reason", "confidence_band", "evidence_phrase"]
+THRESHOLDS = [
+    ("sample_id_unique_rate", 1, None, "block"), ("evidence_id_unique_rate", 1, None, "block"), ("parent_reference_rate", 1, None, "block"), ("platform_match_rate", 1, None, "block"),
+    ("public_url_hit_count", None, 0, "block"), ("sample_duplicate_group_count", None, 0, "warn"), ("explicit_topic_rate", 0.4, None, "warn"), ("assigned_mechanism_rate", 0.4, None, "warn"),
+    ("samples_without_evidence_rate", None, 0.05, "warn"), ("insight_support_resolution_rate", 1, None, "block"), ("action_to_insight_linkage_rate", 1, None, "block"),
+    ("action_to_evidence_linkage_rate", 1, None, "block"), ("evidence_text_match_rate", 1, None, "block"), ("invalid_label_rate", None, 0, "block"), ("uncertain_share", None, 0.5, "warn"),
+    ("flagged_share", None, 0.2, "warn"), ("absent_metric", 0.5, None, "block"),
+]
+_PRIVATE = {
+    "URL": r"[Hh][Tt][Tt][Pp][Ss]?://[^ \t\n\r]+", "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "PHONE": r"\+?[0-9][0-9() -]{7,}[0-9]",
+    "MESSENGER": r"(?i:qq|vx|wx|wechat|telegram|whatsapp)[ ]?[:=][ ]?[A-Za-z0-9_-]{5,}", "HANDLE": r"@[A-Za-z0-9_]{2,}",
+}
+
+
+COLUMNS = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+}
+
+
+class LINT:
+    banned, discouraged, internal, status, terms = ["worthless", "idiot"], ["trash", "clown"], ["token ="], ["license", "License"], ["tion", "ing", "th"]
+    not_but, explained_by, max_sentence, max_terms, max_status = ("with", "for"), [":", "："], 60, 3, 3
 
 
 def q(s: str) -> str:
@@ -154,7 +199,7 @@ ins AS (
          string_agg(CASE WHEN i <= 3 THEN evidence_id END, ',' ORDER BY i) AS first_ids
   FROM ranked GROUP BY surface_topic, mechanism_label
 ),
-acts AS (SELECT printf('ACTION_%03d', row_number() OVER (ORDER BY insight_id)) AS action_id, insight_id, surface_topic || ' / ' || mechanism_label AS title, first_ids AS source_evidence_ids, 'share of such feedback falls' AS expected_effect, 'compare shares before and after' AS validation_method FROM ins WHERE support_level = 'high_support')"""
+acts AS (SELECT printf('ACTION_%03d', row_number() OVER (ORDER BY regexp_extract(insight_id, '[0-9]+$')::BIGINT)) AS action_id, insight_id, surface_topic || ' / ' || mechanism_label AS title, first_ids AS source_evidence_ids, 'share of such feedback falls' AS expected_effect, 'compare shares before and after' AS validation_method FROM ins WHERE support_level = 'high_support')"""
 EVALUATION = f"""{INSIGHTS},
 one AS (SELECT count(*) AS n, count(DISTINCT evidence_id) AS ids, count(*) FILTER (WHERE mechanism_label NOT IN ('', 'unassigned', {', '.join(map(q, LABELS))})) AS invalid FROM labelled),
 loc AS (SELECT count(*) FILTER (WHERE contains(lower({squash('d.text')}), lower({squash('l.unit_text')})) AND {squash('l.unit_text')} <> '') AS located FROM labelled l LEFT JOIN documents d USING (doc_id)),
@@ -167,24 +212,26 @@ rates AS (
 ev AS (
   SELECT *, concat_ws(',', CASE WHEN evidence_text_match_rate < 0.98 THEN 'text_match' END, CASE WHEN invalid_label_rate > 0 THEN 'invalid_label' END) AS blockers FROM rates
 )"""
-SHARES = f"SELECT count(*) AS n, count(*) FILTER (WHERE mechanism_label = 'uncertain') AS uncertain, count(*) FILTER (WHERE {ASSIGNED}) AS assigned, count(*) FILTER (WHERE {SPECIFIC}) AS specific, count(*) FILTER (WHERE {ASSIGNED} AND {SPECIFIC}) AS both FROM labelled"
+SHARES = f"SELECT count(*) AS n, count(*) FILTER (WHERE mechanism_label = 'uncertain') AS uncertain, count(*) FILTER (WHERE surface_topic = 'other_uncertain') AS other_uncertain, count(*) FILTER (WHERE mechanism_label = 'uncertain' AND length_bucket = 'short') AS flagged, count(*) FILTER (WHERE {ASSIGNED}) AS assigned, count(*) FILTER (WHERE {SPECIFIC}) AS specific, count(*) FILTER (WHERE {ASSIGNED} AND {SPECIFIC}) AS both FROM labelled"
 _LIMITS = ", ".join(f"({q(m)}, {'NULL' if lo is None else lo}::DOUBLE, {'NULL' if hi is None else hi}::DOUBLE, {q(lv)})" for m, lo, hi, lv in THRESHOLDS)
 
-_RX = {k: v.replace("\\\\", "\\") for k, v in PRIVATE_PATTERNS.items()}
 
 
 def _pii() -> str:
     inner, cols = "coalesce(text, '')", []
-    for kind, p in _RX.items():
+    for kind, p in _PRIVATE.items():
         cols.append(f"len(regexp_extract_all({inner}, {q(p)}))::BIGINT AS n_{kind.lower()}")
         inner = f"regexp_replace({inner}, {q(p)}, '[{kind}]', 'g')"
     return f"SELECT doc_id, {', '.join(cols)}, sha256({inner}) AS masked_sha256 FROM documents"
 
 
-_NOISE = r"```.*?```|`[^`]*`|<[^>]+>|\[[^\]]*\]\([^)]*\)|https?://[^ \t\n\r\v\f]+|[#>*_|\-]"
+_MARKUP = [r"`+[^`]*`+", r"!?\[[^\]]*\]\([^)]*\)", r"</?[A-Za-z!][^>]*>", r"https?://[!-~]+", r"[-#>*_|]"]
+_CLEAN = "raw"
+for _p in _MARKUP:
+    _CLEAN = f"regexp_replace({_CLEAN}, {q(_p)}, ' ', 'g')"
 LINES = f"""
 raw AS (SELECT doc_id AS file_path, generate_subscripts(l, 1) AS line_number, unnest(l) AS raw FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS l FROM documents)),
-lines AS (SELECT *, regexp_replace(raw, {q(_NOISE)}, ' ', 'g') AS clean FROM raw)"""
+lines AS (SELECT *, {_CLEAN} AS clean FROM raw)"""
 
 
 def _issue(issue: str, shown: str, detail: str) -> str:
@@ -248,6 +295,32 @@ _PE = " + ".join(f"pow(sum((mech_a = {q(c)})::INT + (mech_b = {q(c)})::INT + (me
 _PI = " + ".join(f"pow((mech_a = {q(c)})::INT + (mech_b = {q(c)})::INT + (mech_c = {q(c)})::INT, 2)" for c in LABELS)
 
 
+_SQUASHED = squash("text")
+_SOME = "sh.n"
+_METRICS = f"""bare AS (SELECT count(*) FILTER (WHERE len(u) = 0) AS bare, count(*) AS samples FROM listed),
+dup AS (SELECT count(*) AS groups FROM (SELECT 1 FROM documents WHERE {_SQUASHED} <> '' GROUP BY {_SQUASHED} HAVING count(*) > 1)),
+hit AS (SELECT count(*) FILTER (WHERE regexp_matches(coalesce(text, ''), '(?i)https?://')) AS hits, {rate('count(DISTINCT doc_id)', 'count(*)', 4, '1.0')} AS uniq FROM documents),
+lost AS (SELECT count(*) FILTER (WHERE d.doc_id IS NULL) AS orphans, count(*) FILTER (WHERE l.source <> d.source) AS mismatches FROM labelled l LEFT JOIN documents d USING (doc_id)),
+every AS (SELECT ev.*, sh.* EXCLUDE (n), bare.*, dup.*, hit.*, lost.* FROM ev, sh, bare, dup, hit, lost),
+m AS (
+  SELECT 'sample_id_unique_rate' AS metric, uniq AS value FROM every UNION ALL SELECT 'evidence_id_unique_rate', evidence_id_unique_rate FROM every
+  UNION ALL SELECT 'parent_reference_rate', {rate('n - orphans', 'n', 6, '1.0')} FROM every UNION ALL SELECT 'platform_match_rate', {rate('n - orphans - mismatches', 'n', 6, '1.0')} FROM every
+  UNION ALL SELECT 'evidence_text_match_rate', evidence_text_match_rate FROM every UNION ALL SELECT 'public_url_hit_count', hits::DOUBLE FROM every
+  UNION ALL SELECT 'sample_duplicate_group_count', groups::DOUBLE FROM every UNION ALL SELECT 'invalid_label_rate', invalid_label_rate FROM every
+  UNION ALL SELECT 'explicit_topic_rate', {rate('specific', 'n', 6, '1.0')} FROM every UNION ALL SELECT 'assigned_mechanism_rate', {rate('assigned', 'n', 6, '1.0')} FROM every
+  UNION ALL SELECT 'uncertain_share', {rate('uncertain', 'n')} FROM every UNION ALL SELECT 'flagged_share', {rate('flagged', 'n')} FROM every
+  UNION ALL SELECT 'samples_without_evidence_rate', {rate('bare', 'samples', 6, '1.0')} FROM every UNION ALL SELECT 'insight_support_resolution_rate', insight_support_resolution_rate FROM every
+  UNION ALL SELECT 'action_to_insight_linkage_rate', action_to_insight_linkage_rate FROM every UNION ALL SELECT 'action_to_evidence_linkage_rate', action_to_evidence_linkage_rate FROM every
+)"""
+
+
+def _cleaned(column: str) -> str:
+    out = f"regexp_replace(coalesce({column}, ''), '(?im)^[ \\t\\n\\r\\v\\f]*(re|reply to|回复)[ \\t\\n\\r\\v\\f]*[@:：][^\\n]*$', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?m)^[ \\t\\n\\r\\v\\f]*>+[^\\n]*$', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?i)\\[(image|img|图片|表情)\\]', ' ', 'g')"
+    return f"trim(regexp_replace({out}, {q('[' + WHITESPACE + ']+')}, ' ', 'g'), {WS})"
+
+
 def _blank(name: str, columns: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{c}' AS \"column\", count(*) FILTER (WHERE trim(coalesce({c}::VARCHAR, ''), {WS}) = '') AS blanks, count(*) AS n FROM {name}" for c in columns)
 
@@ -273,21 +346,21 @@ def oracle_sql() -> dict[str, str]:
         "order_line_density": _stats("", "SELECT coalesce(k, 0) AS v FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"),
         "platform_breakdown": f"WITH {LABELLED}, {_listed('surface_topic')}, {_listed('mechanism_label')}, {_listed('length_bucket')}, d AS (SELECT coalesce(source, '') AS source, count(*) AS samples FROM documents GROUP BY 1), u AS (SELECT source, count(*) AS units FROM labelled GROUP BY 1) SELECT source, samples, coalesce(units, 0) AS units, {rate('coalesce(units, 0)', 'samples', 3)} AS units_per_sample, coalesce(surface_topic_counts, '') AS surface_topic_counts, coalesce(mechanism_label_counts, '') AS mechanism_label_counts, coalesce(length_bucket_counts, '') AS length_bucket_counts FROM d LEFT JOIN u USING (source) LEFT JOIN surface_topic_l USING (source) LEFT JOIN mechanism_label_l USING (source) LEFT JOIN length_bucket_l USING (source)",
         "platform_topk": f"WITH {LABELLED}, t AS (SELECT source, 'topic' AS axis, surface_topic AS label, count(*) AS n FROM labelled WHERE {SPECIFIC} GROUP BY ALL), m AS (SELECT source, 'mechanism' AS axis, mechanism_label AS label, count(*) AS n FROM labelled WHERE {ASSIGNED} GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY source, axis ORDER BY n DESC, label) AS rank FROM (SELECT * FROM t UNION ALL SELECT * FROM m)) SELECT * FROM b WHERE rank <= CASE axis WHEN 'topic' THEN 3 ELSE 2 END",
-        "label_shares": f"WITH {LABELLED} SELECT *, {rate('uncertain', 'n')} AS uncertain_rate FROM ({SHARES})",
+        "label_shares": f"WITH {LABELLED} SELECT *, {rate('uncertain', 'n')} AS uncertain_rate, {rate('flagged', 'n')} AS flagged_rate FROM ({SHARES})",
         "orphan_children": f"WITH o AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')), a AS (SELECT (SELECT count(*) FROM lineitem) AS n_children, (SELECT count(*) FROM o) AS n_orphans, (SELECT coalesce(string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey, l_linenumber), '') FROM (SELECT * FROM o ORDER BY l_orderkey, l_linenumber LIMIT 10)) AS examples) SELECT n_children, n_orphans, {rate('n_orphans', 'n_children')} AS orphan_rate, examples FROM a",
         "childless_parents": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
-        "locatable_units": f"WITH {UNITS}, j AS (SELECT p.doc_id IS NULL AS orphan, p.doc_id IS NOT NULL AND CASE WHEN u.source = 'src3' THEN 'src4' ELSE u.source END <> coalesce(p.source, '') AS mismatch, contains({squash('p.text')}, {squash('u.unit_text')}) AS inside FROM units u LEFT JOIN (SELECT * FROM documents WHERE doc_id % 10 <> 7) p USING (doc_id)), s AS (SELECT count(*) AS n, count(*) FILTER (WHERE orphan) AS orphans, count(*) FILTER (WHERE mismatch) AS mismatches, count(*) FILTER (WHERE NOT orphan AND NOT mismatch AND inside) AS located FROM j) SELECT *, {rate('located', 'n', 6, '1.0')} AS match_rate FROM s",
+        "locatable_units": f"WITH {UNITS}, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE p.doc_id IS NULL) AS orphans, count(*) FILTER (WHERE p.doc_id IS NOT NULL AND u.source <> p.source) AS mismatches, count(*) FILTER (WHERE u.source = p.source AND contains({squash('p.text')}, {squash('u.unit_text')})) AS located FROM units u LEFT JOIN documents p USING (doc_id)) SELECT *, {rate('located', 'n', 6, '1.0')} AS match_rate FROM s",
         "benchmark_containment": f"SELECT item_id, doc_id FROM documents d, benchmark b WHERE {squash('b.text')} <> '' AND contains(lower({squash('d.text')}), lower({squash('b.text')}))",
         "duplicate_groups": f"SELECT min(doc_id) AS first_id, count(*) AS size, array_to_string(list_slice(list(doc_id ORDER BY doc_id), 1, 5), ',') AS ids FROM documents WHERE {squash('text')} <> '' GROUP BY {squash('text')} HAVING count(*) > 1",
         "duplicate_summary": f"SELECT count(*) AS groups, coalesce(sum(size), 0)::BIGINT AS rows, coalesce(max(size), 1)::BIGINT AS largest FROM (SELECT count(*) AS size FROM documents WHERE {squash('text')} <> '' GROUP BY {squash('text')} HAVING count(*) > 1)",
         "dedup_canonical": f"SELECT doc_id, min(doc_id) OVER w AS canonical_id, doc_id = min(doc_id) OVER w AS is_canonical FROM documents WINDOW w AS (PARTITION BY CASE WHEN {squash('text')} = '' THEN '#' || doc_id ELSE '=' || {squash('text')} END)",
-        "blank_profile": " UNION ALL ".join([_blank("documents", ["doc_id", "text", "lang", "source"]), _blank("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]), _blank("labels", ["doc_id", "quality", "toxic"])]),
+        "blank_profile": " UNION ALL ".join(_blank(t, c) for t, c in COLUMNS.items()),
         "key_uniqueness": " UNION ALL ".join(_unique(t, k) for t, k in {"documents": "doc_id", "orders": "o_orderkey", "labels": "doc_id", "lineitem": "l_orderkey", "conversations": "conv_id", "pages": "page_id", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "nation": "n_nationkey", "region": "r_regionkey"}.items()),
         "url_hits": " UNION ALL ".join([_url("pages", "url"), _url("pages", "html"), _url("documents", "text")]),
         "insights": f"WITH {INSIGHTS} SELECT * FROM ins",
         "actions": f"WITH {INSIGHTS} SELECT * FROM acts",
         "evaluation_status": f"WITH {EVALUATION} SELECT *, CASE WHEN blockers = '' THEN 'PASS' ELSE 'BLOCKED' END AS status FROM ev",
-        "metric_gate": f"WITH {EVALUATION}, sh AS (SELECT {rate('uncertain', 'n')} AS u FROM ({SHARES})), m AS (SELECT 'evidence_id_unique_rate' AS metric, evidence_id_unique_rate AS value FROM ev UNION ALL SELECT 'evidence_text_match_rate', evidence_text_match_rate FROM ev UNION ALL SELECT 'invalid_label_rate', invalid_label_rate FROM ev UNION ALL SELECT 'uncertain_share', u FROM sh), l(metric, lo, hi, level) AS (VALUES {_LIMITS}) SELECT metric, value, level, CASE WHEN coalesce((lo IS NULL OR value >= lo) AND (hi IS NULL OR value <= hi), false) AND value IS NOT NULL THEN 'PASS' WHEN level = 'block' THEN 'BLOCKED' ELSE 'WARN' END AS status FROM l LEFT JOIN m USING (metric)",
+        "metric_gate": f"WITH {EVALUATION}, sh AS ({SHARES}), {_METRICS}, lim(metric, lo, hi, level) AS (VALUES {_LIMITS}) SELECT lim.metric, value, level, CASE WHEN value IS NOT NULL AND (lo IS NULL OR value >= lo) AND (hi IS NULL OR value <= hi) THEN 'PASS' WHEN level = 'block' THEN 'BLOCKED' ELSE 'WARN' END AS status FROM lim LEFT JOIN m ON m.metric = lim.metric",
         "stratified_sample": f"WITH {SAMPLED}, s AS (SELECT d.evidence_id, d.pick, {', '.join('l.' + x for x in DIMS)}, {" || '|' || ".join('coalesce(l.' + x + ", '')" for x in DIMS)} AS k FROM drawn d JOIN labelled l USING (evidence_id)), c AS (SELECT k, printf('S%03d', row_number() OVER (ORDER BY min(pick))) AS stratum_code FROM s GROUP BY k) SELECT evidence_id, pick, stratum_code, {', '.join(DIMS)} FROM s JOIN c USING (k)",
         "sample_coverage": f"WITH {SAMPLED}, s AS (SELECT l.* FROM drawn d JOIN labelled l USING (evidence_id)) " + " UNION ALL ".join(f"SELECT '{d}' AS dim, {d} AS value, count(*) AS n FROM s GROUP BY {d}" for d in DIMS),
         "blind_sample": f"WITH {BLIND} SELECT * FROM blind",
@@ -316,10 +389,13 @@ def oracle_sql() -> dict[str, str]:
         "merged_counters": "WITH d AS (SELECT source AS key, count(*) AS n FROM documents GROUP BY 1) SELECT key, max(n)::BIGINT AS n FROM (SELECT * FROM d UNION ALL SELECT key, n - length(key) FROM d UNION ALL VALUES ('src0', 50), ('other', 7)) GROUP BY key",
         "source_shift": f"WITH {LABELLED}, c AS (SELECT source, mechanism_label, count(*) AS k FROM labelled GROUP BY ALL), t AS (SELECT source, sum(k)::BIGINT AS n FROM c GROUP BY 1) SELECT source, n, mechanism_label AS top_label, {rate('k', 'n', 4)} AS top_share FROM c JOIN t USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY k DESC, mechanism_label DESC) = 1",
         "field_completion": " UNION ALL ".join(f"SELECT '{c}_completion' AS metric, {rate('k', 'n', 4, '1.0')} AS value FROM (SELECT count(*) AS n, count(*) FILTER (WHERE trim(coalesce({c}::VARCHAR, ''), {WS}) <> '') AS k FROM documents)" for c in ("text", "lang", "source")),
-        "single_platform_support": f"WITH {LABELLED} SELECT surface_topic, mechanism_label, count(DISTINCT source) AS platforms, count(DISTINCT lang) AS langs, count(DISTINCT lang) = 1 AS single FROM labelled WHERE {ASSIGNED} AND surface_topic <> '' GROUP BY ALL",
-        "audit_short_texts": f"SELECT source, count(*) AS n FROM documents WHERE length(trim(coalesce(text, ''), {WS})) < 60 GROUP BY source",
+        "single_platform_support": f"WITH {LABELLED} SELECT surface_topic, mechanism_label, count(DISTINCT source) AS platforms, count(DISTINCT lang) AS langs, count(DISTINCT source) = 1 AS single FROM labelled WHERE {ASSIGNED} AND surface_topic <> '' GROUP BY ALL",
+        "audit_short_texts": f"SELECT source, count(*) AS n, count(*) FILTER (WHERE length({_cleaned('text')}) < 8) AS short FROM documents GROUP BY source",
         "digest_classes": "SELECT (list_sum(list_transform(string_split(sha256(doc_id::VARCHAR), ''), lambda x: ('0x' || x)::INT)) % 3)::INT AS remainder, count(*) AS n FROM documents GROUP BY 1",
         "candidate_register": "SELECT printf('CAND_%04d', i + 1) AS candidate_id, ['alpha', 'beta', 'gamma'][i // 4 + 1] AS platform, ['price', 'trust'][(i // 2) % 2 + 1] AS keyword, 'placeholder ' || (i % 2 + 1) AS title, '' AS notes FROM range(12) t(i)",
     }
+    from .more_sql import more_sql
+
+    out |= more_sql()
     out |= {f"rated_distribution_{c}": _distribution(t, c) for t, c in (("documents", "source"), ("events", "event_type"), ("conversations", "role"))}
     return out

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.normalise import whitelist
-from ..operators.runs import UnsafeOutput, split_valid
+from ..operators.runs import resume_state, split_valid
+from .readers import read_jsonl
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], single: bool = False) -> None:
@@ -28,17 +29,23 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 def append_run(reviews: DataFrame, path: str, run: str, dead_letters: str, resume: bool = False) -> None:
     """Reviews with problems appended to a folder of their run: valid rows to `path`, others with their codes to `dead_letters`.
 
-    Without resume, a folder that has rows is left alone and UnsafeOutput raised.
+    Without resume, a folder that has rows is left alone and UnsafeOutput raised. With it the rows there are checked (all readable, named, of this
+    run), and only items that neither they nor the new rows before have are added. A rater's reviews of one item are one row.
     """
     good, bad = split_valid(reviews)
-    where = f"{path.rstrip('/')}/run={run}"
+    where, lost = f"{path.rstrip('/')}/run={run}", f"{dead_letters.rstrip('/')}/run={run}"
     spark = reviews.sparkSession
-    if not resume:
-        files = spark._jvm.org.apache.hadoop.fs.Path(where)
-        if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
-            raise UnsafeOutput("output_not_empty", where)
+    files = spark._jvm.org.apache.hadoop.fs.Path(where)
+    keys = [c for c in ("reviewer_id", "blinded_item_id") if c in good.columns]
+    good = good.dropDuplicates(keys)
+    if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        done = read_jsonl(spark, where, good.schema)
+        corrupt = done.agg(F.count_if(F.col("_corrupt_record").isNotNull()), F.count("blinded_item_id")).first()[0]
+        resume_state(done, run, corrupt, resume)
+        good = good.join(done.select(*keys).distinct(), keys, "left_anti")
+        bad = bad.join(done.select(*keys).distinct(), keys, "left_anti")
     good.write.mode("append").json(where)
-    bad.write.mode("append").json(f"{dead_letters.rstrip('/')}/run={run}")
+    bad.write.mode("append").json(lost)
 
 
 def write_queue(consensus: DataFrame, path: str) -> None:

@@ -50,4 +50,4 @@ def test_same_under_any_partitioning(spark, name, monkeypatch):
 
 
 def test_manifest(spark):
-    assert catalogue.file_manifest(spark, SF).count() == 4
+    assert catalogue.file_manifest(spark, SF).count() == 14

@@ -26,6 +26,9 @@ def test_json_and_yaml(spark, tmp_path):
     assert rows.count() == 2 and rows.filter("_corrupt_record is not null").count() == 1
     assert readers.read_jsonl(spark, str(tmp_path / "none"), readers.FEEDBACK).count() == 0
     assert readers.json_object("[1]") == readers.json_object("bad") == {} and readers.json_object('{"a": 1}') == {"a": 1}
+    text = "# c\nsize: 3\nname: 'x y'\nurl: http://a/b\nlist:\n  - a\n  # c\n  - 2\nlast: true\n"
+    want = {"size": 3, "name": "x y", "url": "http://a/b", "list": ["a", 2], "last": True}
+    assert readers._settings(text) == want == readers.simple_yaml(text)
     assert readers.simple_yaml("# c\nsize: 3\nname: 'x y'\nlist:\n  - a\n  - 2\n") == {"size": 3, "name": "x y", "list": ["a", 2]}
     assert readers.with_required_terms({"t": ["a"]}, "t", ["b", "a"]) == {"t": ["a", "b"]}
 
@@ -36,6 +39,11 @@ def test_text_files(spark, tmp_path):
         (tmp_path / "root" / name).write_text(name)
     rows = readers.text_files(spark, str(tmp_path / "root"), "*.md", ["skip"])
     assert sorted((r["file_path"], r["text"]) for r in rows.collect()) == [("a.md", "a.md"), ("sub/b.md", "sub/b.md")]
+    for name in ("x y.md", "root/x y.md", "a+b.md"):
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text(name)
+    again = readers.text_files(spark, str(tmp_path / "root"), ["*.md", "*.txt"], ["skip", "sub"])
+    assert sorted((r["file_path"], r["text"]) for r in again.collect()) == [(n, n) for n in ("a+b.md", "a.md", "root/x y.md", "x y.md")]
     assert readers.file_digests(spark, str(tmp_path / "root/a.md")).first()["bytes"] == 4
 
 
@@ -53,7 +61,14 @@ def test_append_is_guarded(spark, tmp_path):
     with pytest.raises(R.UnsafeOutput):
         sinks.append_run(rows, out, "r", dead)
     sinks.append_run(rows, out, "r", dead, resume=True)
-    assert spark.read.json(out).count() == 2
+    assert spark.read.json(out).count() == 1
+    more = spark.createDataFrame([("r", "i1", []), ("r", "i3", []), ("r", "i3", [])], rows.schema)
+    sinks.append_run(more, out, "r", dead, resume=True)
+    assert sorted(r["blinded_item_id"] for r in spark.read.json(out).collect()) == ["i1", "i3"]
+    (tmp_path / "out" / "run=r" / "more.json").write_text("{cut off\n")
+    with pytest.raises(R.UnsafeOutput) as e:
+        sinks.append_run(more, out, "r", dead, resume=True)
+    assert e.value.code == "invalid_rows"
 
 
 def test_reports_and_manifest(spark):

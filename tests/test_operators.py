@@ -71,9 +71,12 @@ def test_containment_and_its_limit(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "The Quick fox"), (2, "slow")], "d long, t string")
     items = spark.createDataFrame([(9, "quick FOX"), (8, " ")], "i long, s string")
     assert tuples(I.containments(docs, items, "d", "t", "i", "s"), "i", "d") == [(9, 1)]
+    more = items.unionByName(spark.createDataFrame([(7, "a much longer passage"), (6, "slow"), (5, "SLOW")], "i long, s string"))
+    docs = docs.unionByName(spark.createDataFrame([(3, "before a MUCH longer  passage after"), (4, "a much longer one")], "d long, t string"))
+    assert tuples(I.containments(docs, more, "d", "t", "i", "s"), "i", "d") == [(5, 2), (6, 2), (7, 3), (9, 1)]
     monkeypatch.setattr(I, "BROADCAST_ROWS", 1)
     with pytest.raises(ValueError):
-        I.containments(docs, items, "d", "t", "i", "s")
+        I.containments(docs, more, "d", "t", "i", "s")
 
 
 RULES = [("x", ["foo", "bar"]), ("y", ["baz"])]
@@ -85,7 +88,10 @@ def test_rules(spark):
     assert rows.select(L.all_matches("t", RULES)).first()[0] == ["x", "y"]
     assert L.rules_from_table([(2, "baz", "y"), (1, "foo", "x"), (1, "bar", "x")]) == [("x", ["bar", "foo"]), ("y", ["baz"])]
     with pytest.raises(ValueError):
-        L.provider("unknown")
+        L.provider("unknown", RULES, RULES)
+    units = spark.createDataFrame([("has foo",)], "unit_text string")
+    assert L.provider("rules", RULES, RULES)(units).first()["surface_topic"] == "x"
+    assert [r[0] for r in rows.select(L.named(F.lit("x"), {"x": "Ex"})).limit(1).collect()] == ["Ex"] and rows.select(L.named(F.lit("y"), {"x": "Ex"})).first()[0] == "y"
 
 
 def test_raters(spark):
@@ -121,6 +127,9 @@ def test_blinding(spark):
     assert len(main) == len(again) == 6 and all(main[r["retest_group_id"]] == r["original_main_blinded_id"] for r in again)
 
 
+LABELS = ["trust", "fairness", "uncertain"]
+
+
 def mini(spark):
     """Three items and a retest of the first: unanimous, majority, disputed."""
     labels = {"i1": "ttt", "i2": "ttf", "i3": "tfu", "i4": "ttt"}
@@ -154,8 +163,8 @@ def test_boundary_conflict_and_missing_rater(spark):
 def test_kappa_and_alpha_at_their_ends(spark):
     reviews, key = mini(spark)
     rows = C.consensus_rows(reviews, key)
-    assert C.fleiss_kappa(rows.limit(0), G.MECHANISMS).first()["kappa"] is None
-    assert C.fleiss_kappa(rows.filter("blinded_item_id = 'i1'"), G.MECHANISMS).first()["kappa"] == 1.0
+    assert C.fleiss_kappa(rows.limit(0), LABELS).first()["kappa"] is None
+    assert C.fleiss_kappa(rows.filter("blinded_item_id = 'i1'"), LABELS).first()["kappa"] == 1.0
     assert C.krippendorff_alpha(reviews.filter("blinded_item_id = 'i1'")).first()["alpha"] == 1.0
     assert C.krippendorff_alpha(reviews.limit(0)).first()["alpha"] is None
     assert C.agreement_summary(rows.limit(0)).filter("rate is not null").count() == 0
@@ -196,7 +205,7 @@ def test_validation_codes(spark):
     base = dict(run_id="r", reviewer_id="a", blinded_item_id="i", evidence_text="some text", mechanism_label="trust", surface_topic="t", boundary_status="complete", abstain_reason="none", confidence_band="high", evidence_phrase="some")
     cases = [({}, []), ({"run_id": ""}, ["run_id"]), ({"mechanism_label": "x"}, ["mechanism_label:invalid"]), ({"evidence_phrase": "else"}, ["evidence_phrase:not_in_text"]), ({"mechanism_label": "uncertain"}, ["abstain_reason:required_for_uncertain"]), ({"surface_topic": "?"}, ["surface_topic:invalid"]), ({"surface_topic": ""}, [])]
     rows = spark.createDataFrame([base | c for c, _ in cases])
-    assert [r["problems"] for r in G.with_problems(rows, list(base), ["t"]).collect()] == [w for _, w in cases]
+    assert [r["problems"] for r in G.with_problems(rows, list(base), ["t"], LABELS).collect()] == [w for _, w in cases]
 
 
 def test_threshold_gate_fails_closed(spark):
@@ -215,7 +224,7 @@ def test_leaks(spark):
 
 def test_resume(spark):
     run = R.run_id("mock", "m 1", "a", "v1", 0.0, 7)
-    assert run == "mock_m_1_a_v1_t0_s7"
+    assert run.startswith("a-") and run == R.run_id("mock", "m 1", "a", "v1", 0, 7) != R.run_id("mock", "m 1", "a", "v1", 0.0, 8)
     done = spark.createDataFrame([(run, "i1", [])], "run_id string, blinded_item_id string, problems array<string>")
     assert R.resume_state(done, run) == 1 and R.resume_state(done.limit(0), run) == 0
     for rows, kind, kwargs in ((done, "output_not_empty", {"resume": False}), (done.unionByName(done.withColumn("run_id", F.lit("z"))), "mixed_runs", {}), (done.withColumn("problems", F.array(F.lit("x"))), "invalid_rows", {}), (done.withColumn("run_id", F.lit("z")), "other_run", {}), (done, "invalid_rows", {"corrupt": 1})):
@@ -235,6 +244,14 @@ def test_retries():
         R.with_retries(fails, sleep=waits.append)
     assert len(calls) == 4 and waits == [1, 2, 4]
 
+    class Answer(Exception):
+        def __init__(self, code):
+            self.code = code
+
+    assert [R.retryable(Answer(c)) for c in (429, 500, 599, 400, 404)] == [True, True, True, False, False] and not R.retryable(ValueError())
+    with pytest.raises(Answer):
+        R.with_retries(lambda: (_ for _ in ()).throw(Answer(404)), sleep=lambda _: pytest.fail("waited"))
+
 
 def test_json_answers(spark):
     raw = spark.createDataFrame([('```json\n{"a": "x"}\n```',), ('{"a": "y"}',), ("no",), ("[1]",)], "t string")
@@ -248,3 +265,53 @@ def test_normalisation(spark):
     assert M.counts_of(json.dumps({"a": 1, "b": True, "c": -1, "d": "x"})) == {"a": 1} and M.counts_of("[]") == {}
     one, two = (spark.createDataFrame(x, "key string, n long") for x in ([("a", 3)], [("a", 5), ("b", 1)]))
     assert tuples(M.max_merged(one, two), "key", "n") == [("a", 5), ("b", 1)]
+
+
+def test_last_review_and_last_parent_count(spark):
+    reviews, key = mini(spark)
+    rows = reviews.withColumn("review_order", F.lit(1))
+    again = rows.filter("blinded_item_id = 'i1' and reviewer_id = 'a'").withColumn("mechanism_label", F.lit("fairness")).withColumn("review_order", F.lit(2))
+    got = C.consensus_rows(rows.unionByName(again), key).filter("blinded_item_id = 'i1'").first()
+    assert (got["mech_a"], got["agreement_level"]) == ("fairness", "majority")
+    assert tuple(C.retest_consistency(rows.unionByName(again), key).first()) == (2, 3, 0.6667)
+    parents = spark.createDataFrame([(1, "old", 1), (1, "new words", 2)], "id long, whole string, ord long")
+    units = spark.createDataFrame([(1, "new"), (1, "old")], "id long, part string")
+    assert tuple(I.match_report(I.linked(units, parents, "id", "part", "whole", order=["ord"])).first()) == (2, 0, 0, 1, 0.5)
+    raw = parents.withColumn("raw", F.lit("old raw")).withColumn("whole", F.lit(""))
+    assert I.match_report(I.linked(units, raw, "id", "part", "whole", fallback="raw", order=["ord"])).first()["located"] == 1
+
+
+def test_lookups_take_whole_rows(spark):
+    items = spark.createDataFrame([("i1",), ("i2",), ("i3",)], "blinded_item_id string")
+    private = spark.createDataFrame([("i1", "s1", "")], "blinded_item_id string, source_id string, note string")
+    public = spark.createDataFrame([("i1", "p1", "n1"), ("i2", "p2", "n2")], "blinded_item_id string, source_id string, note string")
+    assert tuples(C.source_of(items, private, public), "blinded_item_id", "source_id", "note") == [("i1", "s1", ""), ("i2", "p2", "n2"), ("i3", "", "")]
+    texts = spark.createDataFrame([("i1", "the text")], "blinded_item_id string, text string")
+    two = private.unionByName(spark.createDataFrame([("i9", "s9", ""), ("i8", "", "")], private.schema))
+    assert tuples(C.source_texts(two, texts), "source_id", "text") == [("s1", "the text"), ("s9", "")]
+    units = spark.createDataFrame([(1,), (2,)], "id long")
+    whole = spark.createDataFrame([(1, "ctx")], "id long, t string")
+    assert tuples(U.with_parent_context(units, whole, "id", "t"), "id", "parent_context", "context_available") == [(1, "ctx", "yes"), (2, "", "no")]
+
+
+def test_actions_go_by_number(spark):
+    from corpusloom.operators import insights as N
+
+    found = spark.createDataFrame([(f"INSIGHT_{i:03d}", "t", "m", "high_support", "e") for i in (999, 1000, 101)], "insight_id string, surface_topic string, mechanism_label string, support_level string, first_ids string")
+    assert [r["insight_id"] for r in N.actions(found).orderBy("action_id").collect()] == ["INSIGHT_101", "INSIGHT_999", "INSIGHT_1000"]
+
+
+def test_answers_have_defaults_and_facts(spark):
+    raw = spark.createDataFrame([("i1", '{"mechanism_label": "trust", "run_id": "forged"}'), ("i2", '```json\n{"abstain_reason": "other"}\n```'), ("i3", "no"), ("i4", "[]")], "blinded_item_id string, answer string")
+    good, bad = R.parsed_answers(raw, "answer", {"run_id": F.lit("r"), "blinded_item_id": F.col("blinded_item_id")}, "now")
+    assert tuples(good, "run_id", "blinded_item_id", "mechanism_label", "abstain_reason", "created_at") == [("r", "i1", "trust", "none", "now"), ("r", "i2", "", "other", "now")]
+    assert tuples(bad, "blinded_item_id") == [("i3",), ("i4",)]
+
+
+def test_leak_report_and_files(spark):
+    rows = spark.createDataFrame([("seen on Alpha", "blind"), ("fine", "open")], "public_text string, result_type string")
+    assert tuples(G.leak_report(rows, "public_text", ["platform", "text"], ["alpha"], "result_type", "blind"), "check", "hits") == [("header", 1), ("result_type", 1), ("text", 1)]
+    found = spark.createDataFrame([("b", "P0"), ("a", "P1"), ("b", "P2"), ("c", "P2")], "file_path string, priority string")
+    assert [tuple(r) for r in X.file_rollup(found, 2).collect()] == [("b", 2, 1, 0, 1), ("a", 1, 0, 1, 0)]
+    files = spark.createDataFrame([("f", "use `a # b` [x](http://y) <b>bold</b> 1 < 2 > 0\n# head")], "p string, t string")
+    assert [r["clean"].split() for r in X.text_lines(files, "p", "t").collect()] == [["use", "bold", "1", "<", "2", "0"], ["head"]]
