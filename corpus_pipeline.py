@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import round_trip
-from corpusloom.llm.common import documents, saved
+from corpusloom.llm.common import documents, release, saved, written
 from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.mixing import mix_documents
 from corpusloom.llm.near_dedup import near_dedup
@@ -54,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The rows of the last stage. A stage's scratch tables, and its input, go when its rows are written."""
+    docs, before = documents(spark, sf_dir), written()
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, before, docs)
     return docs
