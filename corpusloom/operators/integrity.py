@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import int_rate
 from ..functions.text import has_url, is_blank, normalized, text_of, u_squash
 
-#: Short items that are tested against each text, at most.
-BROADCAST_ROWS = 100_000
+#: Items that are tested against each text, at most, and their bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
 
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -62,12 +62,16 @@ def match_report(links: DataFrame) -> DataFrame:
 def containments(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item: str, case_sensitive: bool = False, gram: int = 12) -> DataFrame:
     """(item_id, text_id) where the normalised item is inside the normalised text.
 
-    Items of `gram` characters or more are found by an equi-join: each has the one of its grams that fewest items have as key, and a text
+    Items of BROADCAST_BYTES and BROADCAST_ROWS at most, both counted, are broadcast and tested against each text. Beyond that,
+    items of `gram` characters or more are found by an equi-join: each has the one of its grams that fewest items have as key, and a text
     meets those items whose key is among its grams; containment is then tested on these pairs only. Shorter items are tested against each text, as many
     as there are: they are distinct strings of fewer than `gram` characters.
     """
     small = items.select(item_id, normalized(item, case_sensitive).alias("_item")).filter("_item <> ''")
     rows = texts.select(text_id, normalized(text, case_sensitive).alias("_text"))
+    n, size = small.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_item")), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), F.contains(F.col("_text"), F.col("_item"))).select(item_id, text_id)
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.substring(F.col(c), i, F.lit(gram)))
     long = small.filter(F.length("_item") >= gram)
     each = long.select(item_id, "_item", F.explode(F.array_distinct(grams("_item"))).alias("_gram"))

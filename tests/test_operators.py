@@ -73,7 +73,9 @@ def test_containment_and_its_limit(spark, monkeypatch):
     assert tuples(I.containments(docs, items, "d", "t", "i", "s"), "i", "d") == [(9, 1)]
     more = items.unionByName(spark.createDataFrame([(7, "a much longer passage"), (6, "slow"), (5, "SLOW")], "i long, s string"))
     docs = docs.unionByName(spark.createDataFrame([(3, "before a MUCH longer  passage after"), (4, "a much longer one")], "d long, t string"))
-    assert tuples(I.containments(docs, more, "d", "t", "i", "s"), "i", "d") == [(5, 2), (6, 2), (7, 3), (9, 1)]
+    for limit in (1 << 20, 0):  # items broadcast, then by their grams
+        monkeypatch.setattr(I, "BROADCAST_BYTES", limit)
+        assert tuples(I.containments(docs, more, "d", "t", "i", "s"), "i", "d") == [(5, 2), (6, 2), (7, 3), (9, 1)]
     monkeypatch.setattr(I, "BROADCAST_ROWS", 1)
     with pytest.raises(ValueError):
         I.containments(docs, more, "d", "t", "i", "s")
