@@ -91,14 +91,10 @@ def seeded(seed: str, *parts: str | Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *[text_of(p).cast("string") for p in parts]), 256)
 
 
-def hex_digit_sum(digest: Column) -> Column:
-    digits = F.split(digest, "")
-    return F.aggregate(digits, F.lit(0), lambda s, d: s + F.when(d == "", 0).otherwise(F.conv(d, 16, 10).cast("int")))
-
-
 def digest_mod3(digest: Column) -> Column:
-    """A hexadecimal number mod 3: 16 is 1 mod 3, so its digits' sum mod 3."""
-    return F.pmod(hex_digit_sum(digest), F.lit(3))
+    """A hexadecimal number of up to 75 digits mod 3: 16 is 1 mod 3, so the sum of its stretches of 15 digits, which fit in a long, mod 3."""
+    parts = [F.coalesce(F.conv(F.substring(digest, at, 15), 16, 10).cast("long") % 3, F.lit(0)) for at in range(1, 75, 15)]
+    return F.when(digest.isNotNull(), (reduce(lambda a, b: a + b, parts) % 3).cast("int"))
 
 
 def digest_divisible_by_6(digest: Column) -> Column:

@@ -70,9 +70,10 @@ def rater_reviews(items: DataFrame, topics: Rules, mechanisms: Rules, run_id: st
     """
     rows = items.select(F.col(item).alias("blinded_item_id"), text_of(text).alias("evidence_text"))
     rows = rows.withColumn("_hits", all_matches(F.lower("evidence_text"), mechanisms)).withColumn("_topic", first_match(F.lower("evidence_text"), topics, "other_uncertain"))
+    rows = rows.withColumn("_brief", F.length(u_strip("evidence_text")) < short)  # once an item, before there are three rows of it
     rows = rows.withColumn("reviewer_id", F.explode(F.array(*map(F.lit, RATERS))))
     rows = rows.withColumn("_digest", F.sha2(F.concat("reviewer_id", F.col("blinded_item_id").cast("string"), "evidence_text"), 256))
-    brief = F.length(u_strip("evidence_text")) < short
+    brief = F.col("_brief")
     base = F.coalesce(F.get("_hits", F.lit(0)), F.lit("uncertain"))
     label = (
         F.when(F.col("reviewer_id") == "a", F.when(brief | digest_divisible_by_6(F.col("_digest")), "uncertain").otherwise(base))

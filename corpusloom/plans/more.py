@@ -42,6 +42,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows written as Parquet and read again: filters on columns that are dear to derive then don't derive them once more for each use."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents written as CSV and read again, line feeds, quotes and all; a missing file is empty."""
     rows, path = Q.docs(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")), scratch(spark, "csv")
@@ -67,7 +74,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def appended_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that is stopped after the units of half of the languages, then resumed over all: each review is there once, dead letters apart."""
     rows = G.with_problems(Q.spoiled(spark, sf_dir), Q.REQUIRED, Q.TOPIC_NAMES, Q.CODEBOOK)
-    rows = rows.select("run_id", "reviewer_id", "blinded_item_id", "mechanism_label", "problems")
+    rows = written(rows.select("run_id", "reviewer_id", "blinded_item_id", "mechanism_label", "problems"), "checked")
     path, dead = scratch(spark, "run"), scratch(spark, "dead")
     first = rows.filter(F.col("mechanism_label").isin("uncertain", "trust"))
     sinks.append_run(first, path, "rules", dead)

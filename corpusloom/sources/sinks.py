@@ -42,8 +42,8 @@ def append_run(reviews: DataFrame, path: str, run: str, dead_letters: str, resum
         done = read_jsonl(spark, where, good.schema)
         corrupt = done.agg(F.count_if(F.col("_corrupt_record").isNotNull()), F.count("blinded_item_id")).first()[0]
         resume_state(done, run, corrupt, resume)
-        good = good.join(done.select(*keys).distinct(), keys, "left_anti")
-        bad = bad.join(done.select(*keys).distinct(), keys, "left_anti")
+        good = good.join(done.select(*keys), keys, "left_anti")
+        bad = bad.join(done.select(*keys), keys, "left_anti")
     good.write.mode("append").json(where)
     bad.write.mode("append").json(lost)
 

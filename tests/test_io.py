@@ -3,6 +3,7 @@ import json
 import pytest
 
 from corpusloom.operators import runs as R
+from corpusloom.plans import more
 from corpusloom.sources import readers, sinks
 from corpusloom.streaming import streams
 
@@ -71,6 +72,17 @@ def test_append_is_guarded(spark, tmp_path):
     assert e.value.code == "invalid_rows"
 
 
+def test_appended_run_derives_its_reviews_once(spark, monkeypatch):
+    given = []
+    append = sinks.append_run
+    monkeypatch.setattr(more.sinks, "append_run", lambda rows, *a, **k: (given.append(rows), append(rows, *a, **k)))
+    assert more.appended_run(spark, "/root/testdata/sf0.001").count()
+    assert len(given) == 2
+    for rows in given:
+        for part in R.split_valid(rows):
+            assert "sha2" not in part._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reports_and_manifest(spark):
     rows = spark.createDataFrame([("a|<b>", 1)], "k string, n long")
     assert "a\\|<b>" in sinks.markdown_report("T", {"s": rows}) and "a|&lt;b&gt;" in sinks.html_report("T", {"s": rows})
