@@ -661,3 +661,32 @@ def test_spans_and_bounds_lose_nothing():
                 best = max(best, 2 * len(mine & bag) / max(1, len(mine) + len(bag)))
         got = max((d for d, _ in s.hits(text)), default=0)
         assert got == (best if best >= 0.6 else 0)
+
+
+def test_lm_weights_are_learned_from_all_training_texts_and_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the {'cat' if i % 3 else 'dog'} sat on w{i} mat") for i in range(60)], "doc_id long, text string")
+    train = [lm_score.tokens(r["text"]) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
+    seen, mixer_of, learned = {"words": []}, lm_score.mixer_of, lm_score.learned
+    monkeypatch.setattr(lm_score, "mixer_of", lambda counts: (seen.update(events=int(counts.sum())), mixer_of(counts))[1])
+    monkeypatch.setattr(lm_score, "learned", lambda mixer, rows, study: (seen["words"].append(rows.count()), learned(mixer, rows, study))[1])
+    code = []
+    fit = lm_score.fit_code
+    monkeypatch.setattr(lm_score, "fit_code", lambda *a: code.append(fit(*a)) or code[-1])
+    assert lm_score.lm_scores(docs).count() == 60
+    assert seen["events"] == len(lm_score.events(code[0].tree, train).bit) > 0
+    assert set(seen["words"]) == {len({w for t in train for w in t})}
+
+
+def test_lm_mixer_from_counts_is_that_from_the_events():
+    rng = np.random.default_rng(5)
+    x = (rng.integers(-lm_score.LEVELS, lm_score.LEVELS + 1, (lm_score.CODE_INPUTS, 3000)) * lm_score.LEVEL).astype(np.float32)
+    gate, bit = rng.integers(0, lm_score.CODE_GATES, 3000).astype(np.uint8), rng.integers(0, 2, 3000).astype(np.float32)
+    counts = np.zeros((lm_score.CODE_CELLS, 2), np.int64)
+    np.add.at(counts, (lm_score.cells(x, gate), bit.astype(int)), 1)
+    want = lm_score.Mixer(lm_score.CODE_GATES, lm_score.CODE_START)
+    for _ in range(lm_score.CODE_ROUNDS):
+        sums = lm_score.Sums.none(lm_score.CODE_GATES, lm_score.CODE_INPUTS)
+        want.study(sums, x, bit, gate)
+        want.learn(sums)
+    got = lm_score.mixer_of(counts)
+    assert np.allclose(got.weights, want.weights, atol=1e-3) and np.allclose(got.map, want.map, atol=1e-3)
