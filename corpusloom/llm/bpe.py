@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready
+from .common import python_ready, slim
 
 #: White space as the vocabulary's pattern has it (Unicode's White_Space).
 _GAP = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -32,6 +32,8 @@ KEPT, KEPT_CHARS = 800_000, 48
 RECURSION_BYTES = 96
 #: Words contracted by one recursive query.
 QUERY_WORDS = 40_000
+#: The part of the words kept, of a query's words and of a group's characters that lean workers handle.
+LEAN = 8
 #: Characters handled at once by a worker.
 GROUP_CHARS = 8_000_000
 
@@ -86,7 +88,7 @@ class Bpe:
                     l.append(a), r.append(b), rank.append(n)
         self._table("merges", l=np.array(l, np.int32), r=np.array(r, np.int32), rank=np.array(rank, np.int64))
         self._table("vocab", id=np.array(list(self.ranks.values()), np.int32), hex=[t.hex() for t in self.ranks])
-        self.most = KEPT
+        self.most, self.at_once = KEPT, QUERY_WORDS
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -106,8 +108,8 @@ class Bpe:
         """Ids of words that aren't tokens themselves."""
         out: list[bytes] = [b""] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= RECURSION_BYTES]
-        for at in range(0, len(short), QUERY_WORDS):
-            part = short[at : at + QUERY_WORDS]
+        for at in range(0, len(short), self.at_once):
+            part = short[at : at + self.at_once]
             self._rows("start", [words[i] for i in part])
             ids = self.db.sql(_CONTRACT).to_arrow_table()["ids"].combine_chunks()
             flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
@@ -252,15 +254,18 @@ def round_trip(docs: DataFrame, path: str, pattern: str, lean: bool = False) ->
 
     Null and empty texts have no tokens; repeated rows come out alike; words of any length are contracted whole. Other columns are
     ignored. Encoding and decoding share a worker, so ids don't cross between processes. lean: for executors that other work shares; workers
-    keep an eighth of the words, take texts in smaller groups, and give their memory back after each task.
+    keep and contract an eighth of the words, take texts in groups an eighth as large, and give memory back before, in and after each task.
     """
     python_ready(docs.sparkSession)
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = LEAN if lean else 1
+        if lean:
+            slim()
         bpe = loaded(path, pattern)
-        bpe.most = KEPT // 8 if lean else KEPT
-        for t in grouped(batches, "text", GROUP_CHARS // 4 if lean else GROUP_CHARS):
+        bpe.most, bpe.at_once = KEPT // part, QUERY_WORDS // part
+        for t in grouped(batches, "text", GROUP_CHARS // part):
             ids = bpe.encode(t["text"].to_pylist())
             back = bpe.decode(ids)
             yield pa.record_batch(
@@ -273,6 +278,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, lean: bool = False) ->
                 }
             )
         if lean:
+            del bpe
             forget(path, pattern)
+            slim()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

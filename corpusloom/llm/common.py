@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import shutil
@@ -12,6 +14,7 @@ import zipfile
 from itertools import groupby, islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +93,16 @@ def python_ready(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def slim() -> None:
+    """Hand memory that this process has freed back to the system. Workers outlive their tasks, and the next stage's share them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries than glibc
+        pass
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import python_ready, sample_by_label, saved
+from .common import python_ready, sample_by_label, saved, slim
 
 #: Labelled documents to learn from, shared out over the domains, but at least FIT_LEAST of each that has them; of longer ones as many characters, in pieces.
 FIT_ROWS, FIT_LEAST, FIT_CHARS = 2000, 20, 20_000
@@ -110,6 +110,8 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
                 [*b.columns, pa.array(map(len, words), pa.int64()), pa.array(p, pa.list_(pa.float64()))],
                 names=[*b.schema.names, "_tokens", "_p"],
             )
+        del members
+        slim()
 
     kind = StructType([*docs.schema.fields, StructField("_tokens", LongType()), StructField("_p", ArrayType(DoubleType()))])
     return docs.mapInArrow(run, kind)

@@ -663,6 +663,22 @@ def test_spans_and_bounds_lose_nothing():
         assert got == (best if best >= 0.6 else 0)
 
 
+def test_lean_workers_hand_memory_back_and_hold_fewer_words(monkeypatch):
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    words = [str(i).encode() * 9 for i in range(1_500_000)]
+    last, full = words[-1], held()
+    words.clear()
+    common.slim()
+    assert held() < full - 80_000_000 and last
+    b = bpe.Bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    sizes, rows = [], b._rows
+    monkeypatch.setattr(b, "_rows", lambda name, part: (sizes.append(len(part)), rows(name, part)))
+    texts = [" ".join(f"w{i}x{i * 7}" for i in range(900))]
+    whole = b.encode(texts)
+    b.young, b.old, b.at_once = {}, {}, 100
+    assert b.encode(texts) == whole and max(sizes[1:]) <= 100
+
+
 def test_lm_weights_are_learned_from_all_training_texts_and_words(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"the {'cat' if i % 3 else 'dog'} sat on w{i} mat") for i in range(60)], "doc_id long, text string")
     train = [lm_score.tokens(r["text"]) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
