@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import round_trip
-from corpusloom.llm.common import documents, release, saved, written
+from corpusloom.llm.common import documents, release, rested, saved, written
 from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.mixing import mix_documents
 from corpusloom.llm.near_dedup import near_dedup
@@ -41,12 +42,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, lean=True)
 
 
+def after_rest(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun when executors have handed back the heap that the stage before has left free: its Python workers need that memory."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rested(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality),
-    ("exact_dedup", exact),
-    ("near_dedup", near),
-    ("mixing", mix),
-    ("byte_bpe", tokens),
+    ("quality_rules", after_rest(quality)),
+    ("exact_dedup", after_rest(exact)),
+    ("near_dedup", after_rest(near)),
+    ("mixing", after_rest(mix)),
+    ("byte_bpe", after_rest(tokens)),
 ]
 
 #: Learned rules, rates and recursive encoding aren't SQL over the tables; tests hold run() against a brute-force version.

@@ -11,6 +11,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import groupby, islice
 from pathlib import Path
 
@@ -103,6 +105,26 @@ def slim() -> None:
         pass
 
 
+def rested(spark: SparkSession) -> None:
+    """Let the executors collect their garbage and hand free heap back to the system, which they share with Python workers. A task for each
+    core, so that no executor is left out where all are idle; one that misses it keeps its heap."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
+@contextmanager
+def settings(spark: SparkSession, new: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for a while."""
+    old = {k: spark.conf.get(k, None) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -7,7 +7,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from corpusloom.llm import bpe, quality_rules
+from corpusloom.llm import bpe, common, quality_rules
 
 from .test_llm import SF, components_by_hand
 
@@ -34,3 +34,22 @@ def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_each_stage_begins_with_free_heap_handed_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "rested", lambda _: calls.append("rested"))
+    for operator in ("keep_good", "exact_dedup", "near_dedup", "mix_documents", "round_trip"):
+        monkeypatch.setattr(corpus_pipeline, operator, lambda *_, operator=operator, **__: calls.append(operator))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert calls == ["rested", "keep_good", "rested", "exact_dedup", "rested", "near_dedup", "rested", "mix_documents", "rested", "round_trip"]
+
+
+def test_executors_hand_free_heap_back(spark):
+    """In local mode the driver's JVM is the executor: 200 MB that nothing refers to are collected."""
+    gateway, heap = spark.sparkContext._gateway, spark._jvm.java.lang.Runtime.getRuntime()
+    gateway.detach(gateway.new_array(spark._jvm.long, 25 << 20))
+    before = heap.totalMemory() - heap.freeMemory()
+    common.rested(spark)
+    assert heap.totalMemory() - heap.freeMemory() < before - (150 << 20)
