@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, joined, python_ready, repeated_ids, saved
+from .common import fresh, joined, python_ready, repeated_ids, rested, saved, settings, slim
 from .components import components, with_component
 
 WORDS, BINS, ROWS = 5, 128, 4
@@ -63,6 +63,12 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(x)
 
 
+def forget() -> None:
+    """Give the kept word hashes back at a task's end; other work's tasks share this process."""
+    _WORD_HASHES.clear()
+    slim()
+
+
 def sketch(h: np.ndarray) -> np.ndarray:
     """The densified one-permutation sketch of sorted hashes; h has one at least."""
     first = np.minimum(np.searchsorted(h, _EDGES), len(h) - 1)
@@ -104,6 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 bands.append(band_keys(sketch(h)) if len(h) else None)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+        forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>")
 
@@ -116,6 +123,7 @@ def full_sets(docs: DataFrame, cand: DataFrame) -> DataFrame:
             sets = [shingle_hashes(t.as_py()) for t in b.column("text")]
             keys = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "key": pa.array(keys, pa.binary()), "n": pa.array([len(h) for h in sets], pa.int64()), "hashes": pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))})
+        forget()
 
     texts = joined(docs.select("doc_id", "text").filter("doc_id is not null"), cand.select("doc_id"), ["doc_id"], "left_semi", 24)
     sets = saved(joined(texts.mapInArrow(run, "doc_id long, key binary, n long, hashes array<long>"), cand, ["doc_id", "key"], "inner", 64).select("node", "n", "hashes"), "sets")
@@ -194,7 +202,13 @@ def near_components(docs: DataFrame) -> DataFrame:
     shingle, the whole. A row without doc_id is alone: component_id is null, kept is true. Rows that repeat a
     doc_id are that many rows, each in the component of its own text. Other columns are ignored. An empty table gives no rows.
     """
+    with settings(docs.sparkSession, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):  # fewer tasks and files: most tables are small
+        return _near_components(docs)
+
+
+def _near_components(docs: DataFrame) -> DataFrame:
     rows = saved(signatures(docs), "signatures")
+    rested(docs.sparkSession)
     in_class = "n > 0 and doc_id is not null"
     classes = rows.filter(in_class).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")

@@ -4,10 +4,11 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
-from corpusloom.llm import bpe, common, quality_rules
+from corpusloom.llm import bpe, common, near_dedup, quality_rules
 
 from .test_llm import SF, components_by_hand
 
@@ -53,3 +54,19 @@ def test_executors_hand_free_heap_back(spark):
     before = heap.totalMemory() - heap.freeMemory()
     common.rested(spark)
     assert heap.totalMemory() - heap.freeMemory() < before - (150 << 20)
+
+
+def test_near_dedup_leaves_no_hashes_in_workers_and_the_session_as_it_was(spark):
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    was = spark.conf.get(key)
+    near_dedup.near_components(spark.read.parquet(f"{SF}/documents.parquet")).count()
+    assert spark.conf.get(key) == was
+
+    def kept(batches):
+        from corpusloom.llm import near_dedup as there
+
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([len(there._WORD_HASHES)] * b.num_rows, pa.int64())})
+
+    workers = spark.range(0, 64, 1, 16).mapInArrow(kept, "n long").collect()
+    assert {r["n"] for r in workers} == {0}
