@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, common, exact_dedup, gru, language_id, learned_rules, license_scan, lm_score, mixing, near_dedup, quality_rules, rule_ensemble, toxicity
+from corpusloom.llm import bpe, common, exact_dedup, gru, language_id, learned_rules, license_scan, lm_java, lm_score, mixing, near_dedup, quality_rules, rule_ensemble, toxicity
 from corpusloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -706,3 +706,50 @@ def test_lm_mixer_from_counts_is_that_from_the_events():
         want.learn(sums)
     got = lm_score.mixer_of(counts)
     assert np.allclose(got.weights, want.weights, atol=1e-3) and np.allclose(got.map, want.map, atol=1e-3)
+
+
+def test_lm_tasks_in_the_jvm_count_and_score_as_the_arrays_do(spark):
+    """Slots, rounded inputs, code and spelling of odd texts, against the arrays of whole batches."""
+    texts = ["The CAT\x0bsat\ton the mat " * 40, None, "", "\u00dcber\u3000a \U0001f600 b\u00a0c naïve", "x" * 5000 + " cat cat", "sat on\x1cthe \x00 mat", *[f"the {'cat' if i % 3 else 'dog'} sat on w{i} mat" for i in range(40)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lists = [lm_score.tokens(t) for t in texts]
+    counts = Counter(w for t in lists for w in t)
+    words = sorted(w for w, k in counts.items() if k >= 2)
+    code = lm_score.fit_code(docs, words, np.array([counts[w] for w in words]), sum(k for k in counts.values() if k == 1))
+    e = lm_score.events(code.tree, lists)
+    for table, slots, bits in zip(code.tables, e.slots, lm_score.CODE_BITS, strict=True):
+        want = np.zeros((1 << bits, 2), np.int64)
+        np.add.at(want, (slots, e.bit.astype(int)), 1)
+        assert (lm_score.packed(want) == table).all()
+    want = np.zeros((lm_score.CODE_CELLS, 2), np.int64)
+    np.add.at(want, (lm_score.cells(*lm_score.code_inputs(code.tree, code.tables, e, True)), e.bit.astype(int)), 1)
+    assert np.allclose(code.mixer.weights, lm_score.mixer_of(want).weights, atol=0.02)
+
+    table = spark.createDataFrame([(w.decode(), k) for w, k in counts.items()], "token string, c long")
+    spelling, every = lm_score.fit_spelling(table), list(counts)
+    want, mixer = np.zeros((lm_score.SPELL_FIRST[-1], 2), np.int64), lm_score.Mixer(lm_score.SPELL_GATES, (0.2,) * 6)
+    for slots, bit in lm_score._letters(every):
+        np.add.at(want, (slots, np.tile(bit.astype(int), (6, 1))), 1)
+    assert (lm_score.packed(want) == spelling.table).all()
+    for _ in range(lm_score.SPELL_ROUNDS):
+        sums = lm_score.Sums.none(lm_score.SPELL_GATES, 6)
+        for step, (slots, bit) in enumerate(lm_score._letters(every)):
+            x, gate = lm_score.spell_inputs(spelling.table, slots, bit, step, True)
+            mixer.study(sums, x, bit.astype(np.float32), gate)
+        mixer.learn(sums)
+    assert np.allclose(spelling.mixer.weights, mixer.weights, atol=0.02)
+
+    base = np.log10([counts[w] for w in words])
+    sent = lm_java.shared(spark, lm_java.sent(spark, {"weights": code.mixer.weights, "map": code.mixer.map, "base": base}, code.sent))
+    kind = "row long, doc_id long, token binary, k long, n_tokens long, size long, n_known long, base double, log double"
+    rows = lm_java.rows(docs.select("doc_id", F.col("text").cast("binary")), "look", sent, kind).collect()
+    logs = code.log10(lists)
+    for r in [r for r in rows if r["token"] is None]:
+        mine = lists[r["doc_id"]]
+        assert (r["n_tokens"], r["size"], r["n_known"]) == (len(mine), sum(len(w) + 1 for w in mine), sum(w in words for w in mine))
+        assert abs(r["log"] - logs[r["doc_id"]]) < 1e-4 * abs(logs[r["doc_id"]]) + 1e-6 and abs(r["base"] - sum(math.log10(counts[w]) for w in mine if w in words)) < 1e-6
+    assert sum((Counter({bytes(r["token"]): r["k"]}) for r in rows if r["token"] is not None), Counter()) == Counter(w for t in lists for w in t if w not in words)
+    sent = lm_java.shared(spark, lm_java.sent(spark, {"weights": spelling.mixer.weights, "map": spelling.mixer.map}, spelling.sent))
+    spelled = lm_java.rows(table.select(F.col("token").cast("binary"), "c"), "spell", sent, "token binary, c long, log double").collect()
+    want = dict(zip(every, spelling.log10(every), strict=True))
+    assert all(abs(r["log"] - want[bytes(r["token"])]) < 1e-4 * abs(want[bytes(r["token"])]) for r in spelled) and len(spelled) == len(want)
